@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigrove.llm import bpe, suffixtree
+from lexigrove.llm import bpe, decontam, hilbert, langid, linededup, simhash, suffixtree
 from lexigrove.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +20,29 @@ def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixtree.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.prototypes(docs))
+
+
+def op5_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.shard(table(spark, sf_dir, "documents"), ["n_chars", "source", "lang"], F.octet_length("text"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op4_suffix_tree)}
+    return {f.__name__: f for f in (op1_bpe, op3_language_id, op4_suffix_tree, op5_hilbert, op6_simhash, op8_line_dedup, op10_decontamination)}
 
 
 #: Spans all of whose runs of 50 words occur elsewhere.
@@ -51,5 +72,52 @@ GROUP BY i.doc_id, i.island
 """
 
 
+#: Runs of three lines or more that occur earlier are deleted; a document with no line left goes.
+LINES_SQL = r"""
+WITH t AS (
+  SELECT *, regexp_extract_all(text, '[^\n]+\n*') AS lines FROM documents
+), l AS (
+  SELECT doc_id, unnest(range(0, len(lines) - 2)) AS i, lines FROM t WHERE doc_id IS NOT NULL AND len(lines) >= 3
+), r AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY rtrim(lines[i + 1], chr(10)), rtrim(lines[i + 2], chr(10)), rtrim(lines[i + 3], chr(10)) ORDER BY doc_id, i) AS k FROM l
+), gone AS (
+  SELECT DISTINCT doc_id, i + unnest([0, 1, 2]) AS i FROM r WHERE k > 1
+), d AS (
+  SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id
+), o AS (
+  SELECT t.doc_id, t.text AS old, t.lang, t.source, t.n_chars, gone,
+    regexp_extract(t.text, '^\n*') || array_to_string(list_filter(lines, lambda x, i: NOT list_contains(gone, i - 1)), '') AS text
+  FROM t LEFT JOIN d ON t.doc_id = d.doc_id
+)
+SELECT doc_id, CASE WHEN gone IS NULL THEN old ELSE text END AS text, lang, source, n_chars, CAST(coalesce(len(gone), 0) AS INTEGER) AS deleted_lines
+FROM o WHERE gone IS NULL OR ltrim(text, chr(10)) <> ''
+"""
+
+#: Longest runs of words that a document shares with a test item, from the 13-word runs on each diagonal.
+LEAKS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(text, '[\t\n\f\r ]+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(text, '[\t\n\f\r ]+'), lambda x: x <> '') AS ws FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), bg AS (
+  SELECT item_id, p, least(13, len(ws)) AS n, array_to_string(ws[p + 1 : p + least(13, len(ws))], ' ') AS gram
+  FROM (SELECT item_id, ws, unnest(range(0, len(ws) - least(13, len(ws)) + 1)) AS p FROM b WHERE len(ws) >= 5) x
+), sizes AS (
+  SELECT DISTINCT n FROM bg
+), dg AS (
+  SELECT doc_id, q, n, array_to_string(ws[q + 1 : q + n], ' ') AS gram
+  FROM (SELECT doc_id, ws, n, unnest(range(0, len(ws) - n + 1)) AS q FROM d, sizes WHERE len(ws) >= n) x
+), m AS (
+  SELECT DISTINCT doc_id, item_id, q, p, n FROM dg JOIN bg USING (n, gram)
+), i AS (
+  SELECT *, q - row_number() OVER (PARTITION BY doc_id, item_id, q - p ORDER BY q) AS island FROM m
+), runs AS (
+  SELECT doc_id, item_id, count(*) + min(n) - 1 AS n_words, min(q) AS doc_word, min(p) AS item_word FROM i GROUP BY doc_id, item_id, q - p, island
+)
+SELECT doc_id, item_id, CAST(n_words AS INTEGER) AS n_words, CAST(doc_word AS INTEGER) AS doc_word, CAST(item_word AS INTEGER) AS item_word
+FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_words DESC, doc_word, item_word) = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_suffix_tree": REPEATS_SQL}
+    return {"op4_suffix_tree": REPEATS_SQL, "op8_line_dedup": LINES_SQL, "op10_decontamination": LEAKS_SQL}
