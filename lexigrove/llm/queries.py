@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigrove.llm import bpe, decontam, hilbert, langid, linededup, simhash, suffixtree
+from lexigrove.llm import bpe, decontam, hilbert, langid, levels, linededup, quality, simhash, suffixtree, urlgraph
 from lexigrove.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,15 @@ def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixtree.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+#: Seeds of the link-graph filter: hosts, with all below them.
+TRUSTED_HOSTS, BLOCKED_HOSTS = ["example.org"], ["ththth.example.org", "tiontion.example.com"]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urlgraph.filter_urls(pages, TRUSTED_HOSTS, BLOCKED_HOSTS).select("page_id", "url", "host", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"), "rejected")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.prototypes(docs))
@@ -33,16 +42,26 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return levels.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kept = quality.keep(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return kept.select("doc_id", "p_quality", "p_toxic")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op3_language_id, op4_suffix_tree, op5_hilbert, op6_simhash, op8_line_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op1_bpe, op2_url_filter, op3_language_id, op4_suffix_tree, op5_hilbert, op6_simhash, op7_suffix_levels, op8_line_dedup, op9_quality, op10_decontamination)}
 
 
 #: Spans all of whose runs of 50 words occur elsewhere.
@@ -120,4 +139,4 @@ FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_wor
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_suffix_tree": REPEATS_SQL, "op8_line_dedup": LINES_SQL, "op10_decontamination": LEAKS_SQL}
+    return {"op4_suffix_tree": REPEATS_SQL, "op7_suffix_levels": REPEATS_SQL, "op8_line_dedup": LINES_SQL, "op10_decontamination": LEAKS_SQL}
