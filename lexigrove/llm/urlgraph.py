@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lexigrove.llm.common import Shared, fresh
 
 DAMPING = 0.85
-#: Steps at most, steps between two looks at the change, and the summed change that ends them.
-STEPS, STRIDE, TOLERANCE = 40, 4, 1e-6
+#: Steps at most, and the summed change that ends them.
+STEPS, TOLERANCE = 40, 1e-6
 #: Distrust of a rejected host, as a multiple of what each host would have if it were spread evenly.
 THRESHOLD = 1.0
 _HREF = r"""(?i)<a\s[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
@@ -46,8 +46,8 @@ def _matches(column: Column, names: list[str]) -> Column:
 def propagate(edges: DataFrame, hosts: DataFrame, trusted: list[str], blocked: list[str], damping: float = DAMPING, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) of the hosts and of all that edges name; each of the two sums to 1, or to 0 without a seed.
 
-    A seed is a listed host or one below it. What reaches a host that leads no further goes back to the seeds. A step reads
-    two lineage-free tables; each STRIDE of them is written to the shared folder.
+    A seed is a listed host or one below it. What reaches a host that leads no further goes back to the seeds. Each
+    step's table is written to the shared folder, so that plans stay small and a lost executor costs one step.
     """
     shared = Shared(edges.sparkSession)
     links, _ = shared.write(edges.groupBy("src", "dst").agg(F.sum("n").cast("double").alias("n")))
@@ -58,25 +58,20 @@ def propagate(edges: DataFrame, hosts: DataFrame, trusted: list[str], blocked: l
     base, _ = shared.write(seeds.na.fill(0.0, ["out", "in"]))
     totals = base.agg(F.sum("t"), F.sum("d")).first()
     share_t, share_d = (F.col(c) / F.lit(x or 1.0) for c, x in zip("td", totals))
-    now, path = shared.write(base.select("host", share_t.alias("t"), share_d.alias("d"), "out", "in", share_t.alias("trust"), share_d.alias("distrust")))
-    done = 0
-    while done < steps:
-        start, start_path = now, path
-        for _ in range(min(STRIDE, steps - done)):
-            forward = links.join(now.select(F.col("host").alias("src"), "trust", "out"), "src").select(F.col("dst").alias("host"), (F.col("trust") * F.col("n") / F.col("out")).alias("a"), F.lit(0.0).alias("b"))
-            backward = links.join(now.select(F.col("host").alias("dst"), "distrust", "in"), "dst").select(F.col("src").alias("host"), F.lit(0.0).alias("a"), (F.col("distrust") * F.col("n") / F.col("in")).alias("b"))
-            moved = forward.unionByName(backward).groupBy("host").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-            left = now.agg(F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("trust"))), F.lit(0.0)).alias("lost_t"), F.coalesce(F.sum(F.when(F.col("in") == 0, F.col("distrust"))), F.lit(0.0)).alias("lost_d"))
-            step = now.join(moved, "host", "left").crossJoin(F.broadcast(left))  # one row
-            trust = (1 - damping) * F.col("t") + damping * (F.coalesce("a", F.lit(0.0)) + F.col("lost_t") * F.col("t"))
-            distrust = (1 - damping) * F.col("d") + damping * (F.coalesce("b", F.lit(0.0)) + F.col("lost_d") * F.col("d"))
-            now = step.select("host", "t", "d", "out", "in", trust.alias("trust"), distrust.alias("distrust"))
-            done += 1
-        now, path = shared.write(now)
-        old = start.select("host", F.col("trust").alias("old_t"), F.col("distrust").alias("old_d"))
-        change = now.join(old, "host").agg(F.sum(F.abs(F.col("trust") - F.col("old_t")) + F.abs(F.col("distrust") - F.col("old_d")))).first()[0]
-        shared.drop(start_path)
-        if (change or 0.0) <= tolerance:
+    now, path = shared.write(base.select("host", share_t.alias("t"), share_d.alias("d"), "out", "in", share_t.alias("trust"), share_d.alias("distrust"), F.lit(0.0).alias("change")))
+    lost = [F.coalesce(F.sum(F.when(F.col(a) == 0, F.col(b))), F.lit(0.0)) for a, b in (("out", "trust"), ("in", "distrust"))]
+    for _ in range(steps):
+        lost_t, lost_d = now.agg(*lost).first()
+        forward = links.join(now.select(F.col("host").alias("src"), "trust", "out"), "src").select(F.col("dst").alias("host"), (F.col("trust") * F.col("n") / F.col("out")).alias("a"), F.lit(0.0).alias("b"))
+        backward = links.join(now.select(F.col("host").alias("dst"), "distrust", "in"), "dst").select(F.col("src").alias("host"), F.lit(0.0).alias("a"), (F.col("distrust") * F.col("n") / F.col("in")).alias("b"))
+        moved = forward.unionByName(backward).groupBy("host").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        trust = (1 - damping) * F.col("t") + damping * (F.coalesce("a", F.lit(0.0)) + lost_t * F.col("t"))
+        distrust = (1 - damping) * F.col("d") + damping * (F.coalesce("b", F.lit(0.0)) + lost_d * F.col("d"))
+        change = F.abs(trust - F.col("trust")) + F.abs(distrust - F.col("distrust"))
+        new, new_path = shared.write(now.join(moved, "host", "left").select("host", "t", "d", "out", "in", trust.alias("trust"), distrust.alias("distrust"), change.alias("change")))
+        shared.drop(path)
+        now, path = new, new_path
+        if (now.agg(F.sum("change")).first()[0] or 0.0) <= tolerance:
             break
     return now.select("host", "trust", "distrust")
 
