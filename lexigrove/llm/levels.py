@@ -112,7 +112,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     without id or text, short texts, repeated rows and empty tables. Only the two columns are read.
     """
     spark = docs.sparkSession
-    prefix = min(spans.PREFIX, min_words)
+    prefix = spans.prefix_words(min_words)
     shared = Shared(spark)
     family = SuffixLevels(spark, shared, buckets, min_words, prefix)
     rows = spans.known(docs, key, text)

@@ -26,6 +26,13 @@ BATCH_ROWS = 60_000
 _C = np.uint64(0xD6E8FEB86659FD93)
 
 
+def prefix_words(min_words: int) -> int:
+    """Words that suffixes are grouped by, PREFIX of MIN_WORDS words; passages need two words at least."""
+    if min_words < 2:
+        raise ValueError("a passage needs two words at least")
+    return max(1, min(PREFIX, min_words * PREFIX // MIN_WORDS))
+
+
 def known(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text) of the rows that have both; other columns are not read."""
     return docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("doc_id is not null and text is not null")

@@ -20,6 +20,6 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     once: rows with one id are one document. Columns other than the two are not read, so their names don't matter.
     """
     shared = Shared(docs.sparkSession)
-    rows = spans.known(docs, key, text)
-    marked, _ = shared.write(spans.marks(spans.anchors(rows, min_words, min(spans.PREFIX, min_words))))
-    return spans.repeats(marked, rows, min_words, min(spans.PREFIX, min_words), group_rows)
+    rows, prefix = spans.known(docs, key, text), spans.prefix_words(min_words)
+    marked, _ = shared.write(spans.marks(spans.anchors(rows, min_words, prefix)))
+    return spans.repeats(marked, rows, min_words, prefix, group_rows)

@@ -1,0 +1,79 @@
+"""Operator 8: line dedup, against every run of three lines."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from lexigrove.llm import linededup
+from tests.llm.util import SF, documents, lines
+
+
+def corpus(seed, n=50):
+    rng = random.Random(seed)
+    blocks = [[f"block {b} line {i}" for i in range(rng.choice([2, 3, 4, 9]))] for b in range(6)]
+    out = []
+    for i in range(n):
+        t = [f"own {rng.randrange(30)}" for _ in range(rng.choice([0, 1, 2, 5, 12]))]
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(t) + 1)
+            t[at:at] = rng.choice(blocks)
+        out.append((i * 3 - 20, rng.choice(["", "\n", "\n\n"]) + rng.choice(["\n", "\n\n"]).join(t) + rng.choice(["", "\n"])))
+    return out
+
+
+def check(spark, texts, df=None):
+    got = {r["doc_id"]: (r["text"], r["deleted_lines"]) for r in linededup.dedup_lines(documents(spark, texts) if df is None else df).collect()}
+    assert got == lines(texts)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_against_every_run(spark, seed):
+    check(spark, corpus(seed))
+
+
+@pytest.mark.parametrize("gram,window", [(1, 1), (2, 3), (3, 4)])
+def test_other_fingerprints(spark, gram, window):
+    texts = corpus(9)
+    got = {r["doc_id"]: (r["text"], r["deleted_lines"]) for r in linededup.dedup_lines(documents(spark, texts), gram=gram, window=window).collect()}
+    assert got == lines(texts, gram + window - 1)
+
+
+def test_equal_lines_in_a_row(spark):
+    check(spark, [(1, "a\n" * 9), (2, "a\nb\n" * 5), (3, "a\na\n"), (4, "a\na\na")])
+
+
+def test_first_copy_stays_and_a_whole_copy_goes(spark):
+    t = "one\ntwo\nthree\nfour"
+    out = linededup.dedup_lines(documents(spark, [(9, t), (4, t), (7, t + "\nfive")])).collect()
+    assert {(r["doc_id"], r["text"], r["deleted_lines"]) for r in out} == {(4, t, 0), (7, "five", 4)}
+    kept = linededup.dedup_lines(documents(spark, [(9, t), (4, t)]), drop_emptied=False).collect()
+    assert {(r["doc_id"], r["text"], r["deleted_lines"]) for r in kept} == {(4, t, 0), (9, "", 4)}
+
+
+def test_nulls_empty_repeated_rows_and_clashing_names(spark):
+    t = "one\ntwo\nthree"
+    texts = [(1, t), (1, t), (None, t), (2, None), (3, ""), (4, "\n\n"), (5, t)]
+    df = documents(spark, texts).selectExpr("*", "1 as deleted_lines", "2 as ranges", "3 as run_doc")
+    out = linededup.dedup_lines(df)
+    assert out.columns == [*df.columns, "deleted_lines_"]
+    got = sorted((str(r["doc_id"]), r["text"], r["deleted_lines_"]) for r in out.collect() if r["text"] is not None)
+    assert got == sorted([("1", t, 0), ("1", t, 0), ("None", t, 0), ("3", "", 0), ("4", "\n\n", 0)])
+    assert out.where("text is null").count() == 1
+
+
+def test_empty_table(spark):
+    assert linededup.dedup_lines(documents(spark, [])).collect() == []
+
+
+def test_very_long_text(spark):
+    t = "\n".join(f"line {i % 50_000}" for i in range(120_000))
+    check(spark, [(1, t), (2, "line 5\nline 6\nline 7\nmine")])
+
+
+def test_query(spark):
+    from lexigrove.llm.queries import op8_line_dedup
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    assert {r["doc_id"]: (r["text"], r["deleted_lines"]) for r in op8_line_dedup(spark, SF).collect()} == lines(rows)

@@ -1,0 +1,124 @@
+"""Operator 2: trust and distrust, against dense matrices."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lexigrove.llm import urlgraph
+
+PAGES = "page_id bigint, url string, html string"
+
+
+def pages(spark, rows):
+    return spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], PAGES)
+
+
+def link(*urls):
+    return "<p>" + " ".join(f'<a class="x" href="{u}">t</a>' for u in urls) + "</p>"
+
+
+def dense(edges, names, trusted, blocked, damping=0.85, steps=40, tolerance=1e-6):
+    """{host: (trust, distrust)} by multiplying whole matrices."""
+    n, at = len(names), {h: i for i, h in enumerate(names)}
+    m = np.zeros((n, n))
+    for s, d, k in edges:
+        m[at[s], at[d]] += k
+    out = []
+    seeds = []
+    for listed in (trusted, blocked):
+        s = np.array([float(any(h == x or h.endswith("." + x) for x in listed)) for h in names])
+        seeds.append(s / s.sum() if s.sum() else s)
+    now = [s.copy() for s in seeds]
+    for _ in range(steps):
+        new = []
+        for s, v, a in zip(seeds, now, (m, m.T)):
+            total = a.sum(1)
+            walk = np.divide(a, total[:, None], out=np.zeros_like(a), where=total[:, None] > 0)
+            new.append((1 - damping) * s + damping * (v @ walk + v[total == 0].sum() * s))
+        change = sum(np.abs(x - y).sum() for x, y in zip(new, now))
+        now = new
+        if change <= tolerance:
+            break
+    return {h: (now[0][i], now[1][i]) for h, i in at.items()}
+
+
+def web(seed):
+    rng = random.Random(seed)
+    hosts = [f"h{i}.org" for i in range(12)] + ["spam.com", "a.spam.com", "good.edu"]
+    return [(f"http://{rng.choice(hosts)}/p{i}", link(*(f"https://{rng.choice(hosts)}/x" for _ in range(rng.randrange(5))))) for i in range(40)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_against_matrices(spark, seed):
+    rows = web(seed)
+    edges = []
+    for u, h in rows:
+        edges += [(u.split("/")[2], x, 1) for x in re.findall(r'href="https://([^/]+)', h)]
+    names = sorted({u.split("/")[2] for u, _ in rows} | {d for _, d, _ in edges})
+    want = dense(edges, names, ["good.edu"], ["spam.com"])
+    out = urlgraph.filter_urls(pages(spark, rows), ["good.edu"], ["spam.com"])
+    got = {r["host"]: (r["trust"], r["distrust"], r["rejected"]) for r in out.collect()}
+    assert got
+    for h, (t, d, rejected) in got.items():
+        assert (t, d) == pytest.approx(want[h], abs=1e-9)
+        assert rejected == (want[h][1] >= 1 / len(names) and want[h][1] > want[h][0])
+
+
+def test_distrust_moves_backwards_and_trust_forwards(spark):
+    rows = [("http://seed.edu/", link("http://friend.org/")), ("http://friend.org/", ""), ("http://farm.biz/", link("http://bad.com/a", "http://bad.com/b")), ("http://bad.com/", ""), ("http://alone.net/", "")]
+    got = {r["host"]: r for r in urlgraph.filter_urls(pages(spark, rows), ["seed.edu"], ["bad.com"]).collect()}
+    assert got["friend.org"]["trust"] > 0 == got["friend.org"]["distrust"]
+    assert got["farm.biz"]["rejected"] and got["bad.com"]["rejected"]
+    assert not any(got[h]["rejected"] for h in ("seed.edu", "friend.org", "alone.net"))
+
+
+@pytest.mark.parametrize("url,want", [("HTTP://User:p@Www.Example.ORG.:80/x?y#z", "www.example.org"), ("//cdn.example.com/x", "cdn.example.com"), ("/relative", None), ("", None), (None, None), ("mailto:a@b.c", None), ("https://", None), ("ftp://x.y?q", "x.y")])
+def test_host(spark, url, want):
+    row = spark.createDataFrame([(url,)], "url string").select(urlgraph.host(F.col("url")).alias("h")).first()
+    assert row["h"] == want
+
+
+def test_links(spark):
+    html = '<A HREF=/rel>x</A> <a href="#f">x</a> <a href=\'mailto:a@b.c\'>x</a> <a href="http://o.org/?a=1&amp;b">x</a> <a title="t" href="http://o.org/2">x</a> <link href="http://no.org/">'
+    got = {tuple(r) for r in urlgraph.host_edges(pages(spark, [("http://me.com/", html)])).collect()}
+    assert got == {("me.com", "me.com", 1), ("me.com", "o.org", 2)}
+
+
+def test_nulls_empty_repeated_rows_and_clashing_names(spark):
+    rows = [("http://a.com/", link("http://bad.com/"))] * 2 + [(None, link("http://bad.com/")), ("", None), ("http://b.com/", None), ("http://c.com/", "")]
+    df = pages(spark, rows).selectExpr("*", "1 as host", "2 as TRUST", "3 as rejected", "4 as src", "5 as n")
+    out = urlgraph.filter_urls(df, [], ["bad.com"])
+    assert out.columns == [*df.columns, "host_", "trust_", "distrust", "rejected_"]
+    got = sorted((str(r["host_"]), r["rejected_"]) for r in out.collect())
+    assert got == [("None", False), ("None", False), ("a.com", True), ("a.com", True), ("b.com", False), ("c.com", False)]
+
+
+def test_no_seeds_and_empty_tables(spark):
+    assert not any(r["rejected"] for r in urlgraph.filter_urls(pages(spark, web(3)), [], []).collect())
+    assert urlgraph.filter_urls(pages(spark, []), ["a"], ["b"]).collect() == []
+
+
+def test_very_long_page(spark):
+    rows = [("http://a.com/", "<p>x</p>" * 200_000 + link("http://bad.com/") * 20_000), ("http://bad.com/", "")]
+    got = {r["host"]: r["rejected"] for r in urlgraph.filter_urls(pages(spark, rows), [], ["bad.com"]).collect()}
+    assert got == {"a.com": True, "bad.com": True}
+
+
+def test_query(spark):
+    from lexigrove.llm.queries import BLOCKED_HOSTS, TRUSTED_HOSTS, op2_url_filter
+
+    sf = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{sf}/pages.parquet")
+    edges = [tuple(r) for r in urlgraph.host_edges(table).collect()]
+    own = {r["h"] for r in table.select(urlgraph.host(F.col("url")).alias("h")).collect()} - {None}
+    want = dense(edges, sorted(own | {x for e in edges for x in e[:2]}), TRUSTED_HOSTS, BLOCKED_HOSTS)
+    out = op2_url_filter(spark, sf).collect()
+    assert len(out) == table.count()
+    for r in out:
+        if r["host"]:
+            assert (r["trust"], r["distrust"]) == pytest.approx(want[r["host"]], abs=2e-9)
