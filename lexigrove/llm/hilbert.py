@@ -52,7 +52,7 @@ def _number(df: DataFrame, c: str, values: list[str], cells: int) -> Column:
 
 
 def coordinates(df: DataFrame, dimensions: list[str], bits: int = BITS) -> list[Column]:
-    """A coordinate in 0 .. 2**bits - 1 of each dimension, from cuts at quantiles, so that a coordinate has about as many rows as another. Nulls have coordinate 0."""
+    """A coordinate in 0 .. 2**bits - 1 of each dimension, from cuts at quantiles, so that a coordinate has about as many rows as another; few values are spread over the range, else the curve would turn by them last. Nulls have coordinate 0."""
     cells, numbers = 1 << bits, []
     for c in dimensions:
         if isinstance(df.schema[c].dataType, NumericType):
@@ -64,8 +64,10 @@ def coordinates(df: DataFrame, dimensions: list[str], bits: int = BITS) -> list[
     row = df.agg(*(F.percentile_approx(x, at, 10_000).alias(f"q{i}") for i, x in enumerate(numbers))).first()
     out = []
     for i, x in enumerate(numbers):
-        cuts = F.lit(sorted(set(row[i] or [0.0]))).cast("array<double>")
-        out.append(F.coalesce(F.when(x.isNotNull(), F.size(F.filter(cuts, lambda cut: cut <= x))), F.lit(0)).cast("int"))
+        values = sorted(set(row[i] or [0.0]))
+        place = F.size(F.filter(F.lit(values).cast("array<double>"), lambda cut: cut <= x))
+        spread = F.floor(place * F.lit(cells - 1) / F.lit(len(values)))
+        out.append(F.coalesce(F.when(x.isNotNull(), spread), F.lit(0)).cast("int"))
     return out
 
 
