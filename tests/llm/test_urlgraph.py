@@ -104,9 +104,9 @@ def test_no_seeds_and_empty_tables(spark):
 
 
 def test_very_long_page(spark):
-    rows = [("http://a.com/", "<p>x</p>" * 200_000 + link("http://bad.com/") * 20_000), ("http://bad.com/", "")]
+    rows = [("http://a.com/", "<p>x</p>" * 200_000 + link("http://bad.com/") * 20_000), ("http://bad.com/", ""), ("http://b.com/", ""), ("http://c.com/", "")]
     got = {r["host"]: r["rejected"] for r in urlgraph.filter_urls(pages(spark, rows), [], ["bad.com"]).collect()}
-    assert got == {"a.com": True, "bad.com": True}
+    assert got == {"a.com": True, "bad.com": True, "b.com": False, "c.com": False}
 
 
 def test_query(spark):
