@@ -84,8 +84,8 @@ class SuffixLevels:
         everything = None
         for _, level, _ in self.levels:
             own = self.spark.table(level).join(met, "prefix", "left_semi")
-            everything = own if everything is None else everything.unionByName(own).repartition("prefix")
-        return spans.marks(everything)
+            everything = own if everything is None else everything.unionByName(own)
+        return spans.marks(self.shared.write(everything)[0])
 
     def close(self) -> None:
         for _, name, path in self.levels:

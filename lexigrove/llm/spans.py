@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lexigrove.llm.common import Windows, expand, mix, text_slices, tokens, winnow
 
@@ -240,5 +240,10 @@ def merged(found: DataFrame) -> DataFrame:
 
 
 def marks(suffixes: DataFrame) -> DataFrame:
-    """(doc_id, pos, n) of the suffixes whose prefix has more than one, n being their number."""
-    return suffixes.withColumn("n", F.count("*").over(Window.partitionBy("prefix"))).where("n > 1").select("doc_id", "pos", "n")
+    """(doc_id, pos, n) of the suffixes whose prefix has more than one, n being their number.
+
+    Counted with partial sums and joined back, so that a prefix of very many suffixes is no task of its own: a skewed join is
+    split at run time. The suffixes are read twice and should be a written table.
+    """
+    counts = suffixes.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1")
+    return suffixes.join(counts, "prefix").select("doc_id", "pos", "n")

@@ -21,5 +21,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     shared = Shared(docs.sparkSession)
     rows, prefix = spans.known(docs, key, text), spans.prefix_words(min_words)
-    marked, _ = shared.write(spans.marks(spans.anchors(rows, min_words, prefix)))
+    suffixes, path = shared.write(spans.anchors(rows, min_words, prefix))
+    marked, _ = shared.write(spans.marks(suffixes))
+    shared.drop(path)
     return spans.repeats(marked, rows, min_words, prefix, group_rows)
