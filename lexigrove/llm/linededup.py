@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lexigrove.llm.common import NEWLINE, Windows, fresh, text_slices, tokens, winnow
+from lexigrove.llm.common import NEWLINE, Shared, Windows, fresh, text_slices, tokens, winnow
 from lexigrove.llm.spans import known
 
 #: Lines that a fingerprint covers, and successive fingerprints of which one is selected: every run of MIN_LINES is found.
@@ -40,12 +40,17 @@ def fingerprints(rows: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
 
 
 def later_runs(rows: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """(doc_id, ranges): per document the ranges (start, end) of its lines that lie in a run of lines which occurs earlier in the order of (doc_id, line)."""
+    """(doc_id, ranges): per document the ranges (start, end) of its lines that lie in a run of lines which occurs earlier in the order of (doc_id, line).
+
+    The first place of a run is a partial minimum that is joined back, so that a run which very many documents share is no
+    task of its own: a skewed join is split at run time.
+    """
     length = gram + window - 1
-    shared = fingerprints(rows, gram, window).withColumn("n", F.count("*").over(Window.partitionBy("fingerprint"))).where("n > 1")
-    runs = shared.select("doc_id", F.inline("runs"))
-    nth = F.dense_rank().over(Window.partitionBy("run").orderBy("doc_id", "line"))
-    later = runs.withColumn("nth", nth).where("nth > 1").select("doc_id", "line")
+    prints, _ = Shared(rows.sparkSession).write(fingerprints(rows, gram, window))
+    shared = prints.groupBy("fingerprint").count().where("count > 1").select("fingerprint")
+    runs = prints.join(shared, "fingerprint", "left_semi").select("doc_id", F.inline("runs"))
+    first = runs.groupBy("run").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+    later = runs.join(first, "run").where(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line")
     per_doc = Window.partitionBy("doc_id").orderBy("line")
     starts = (F.col("line") > F.coalesce(F.lag("line").over(per_doc) + length, F.lit(-1))).cast("int")
     islands = later.withColumn("starts", starts).withColumn("island", F.sum("starts").over(per_doc))
