@@ -368,7 +368,7 @@ def multi_max_sort_filtered(spark, sf_dir):
 # locations: customers spread over the globe by their keys
 
 PLACES_SQL = "WITH c AS (SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN CAST(c_custkey * 37 % 170 AS DOUBLE) - 85 END AS lat, CASE WHEN c_acctbal >= 0 THEN CAST(c_custkey * 101 % 359 AS DOUBLE) - 179 END AS lng FROM customer) "
-DISTANCE_SQL = "2 * 6371008.77 * asin(sqrt(least(1.0, pow(sin((radians(lat) - radians(52.52)) / 2), 2) + cos(radians(lat)) * cos(radians(52.52)) * pow(sin((radians(lng) - radians(13.405)) / 2), 2))))"
+DISTANCE_SQL = "CASE WHEN lat IS NOT NULL THEN 2 * 6371008.77 * asin(sqrt(least(1.0, pow(sin((radians(lat) - radians(52.52)) / 2), 2) + cos(radians(lat)) * cos(radians(52.52)) * pow(sin((radians(lng) - radians(13.405)) / 2), 2)))) END"
 PLACE = {"place": S.GEO}
 
 
