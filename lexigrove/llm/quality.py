@@ -2,7 +2,8 @@
 
 Two targets are fitted on the labelled rows, quality and toxicity. A text's features are its words and pairs of words, its
 equal neighbouring words, and its runs of CHARACTERS bytes, all hashed to buckets. A linear score over them needs no feature
-matrix: each n-gram's weight is looked up and summed per text.
+matrix: each n-gram's weight is looked up and summed per text. Beginnings of words are features as well, since words of one
+stem share them where each form is rare.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ WORD_BITS, CHAR_BITS = 40, 18
 #: Word features are kept that as many of the sampled texts have, and that occur in the two classes of some target at rates which lie so many standard errors apart.
 LEAST_TEXTS, LEAST_ERRORS = 4, 5.0
 CHARACTERS = 4
+#: Bytes of the beginnings of words that are features, of words that are longer.
+BEGINNINGS = (4, 5, 6, 7)
 #: Labelled texts that the model is fitted and calibrated on, at most; the first in the order of a hash of their ids.
 SAMPLE_ROWS = 8_000
 #: One in so many of these is kept for calibration.
@@ -35,14 +38,23 @@ _LOW = np.uint64((1 << 16) - 1)
 
 
 def word_features(buf: np.ndarray, offsets: np.ndarray, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Row and bucket of each distinct word, pair of words and repeated word of each text, in the order of rows; only those with a bucket among the chosen, in order, if these are given, as their places there."""
-    h, _, _, first = tokens(buf, offsets, NOT_ALNUM, FOLD)
+    """Row and bucket of each distinct word, beginning of a word, pair of words and repeated word of each text, in the order of rows; only those with a bucket among the chosen, in order, if these are given, as their places there."""
+    h, start, end, first = tokens(buf, offsets, NOT_ALNUM, FOLD)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     pair = h[:-1] * np.uint64(3) + h[1:]
     pair[h[:-1] == h[1:]] = 7  # any word that follows itself
     follows = row[1:] == row[:-1]
-    ids = np.concatenate([mix(h ^ np.uint64(11)), mix(pair[follows])]) >> np.uint64(64 - WORD_BITS)
-    rows = np.concatenate([row, row[1:][follows]])
+    parts = [(mix(h ^ np.uint64(11)), row), (mix(pair[follows]), row[1:][follows])]
+    code, at = np.zeros(len(h), np.uint64), np.arange(len(h))
+    for i in range(BEGINNINGS[-1]):
+        longer = end[at] - start[at] > i
+        code, at = code[longer], at[longer]
+        code = (code << np.uint64(8)) | FOLD[buf[start[at] + i]]
+        if i + 1 in BEGINNINGS:
+            cut = end[at] - start[at] > i + 1
+            parts.append((mix(code[cut] ^ np.uint64((i + 1) << 60)), row[at[cut]]))
+    ids = np.concatenate([x for x, _ in parts]) >> np.uint64(64 - WORD_BITS)
+    rows = np.concatenate([x for _, x in parts])
     if chosen is not None:
         known = np.zeros(1 << 16, bool)
         known[chosen & _LOW] = True
