@@ -50,6 +50,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op8_single_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every later copy of a line goes, whatever stands around it."""
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"), gram=1, window=1)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     kept = quality.keep(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -61,7 +66,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_url_filter, op3_language_id, op4_suffix_tree, op5_hilbert, op6_simhash, op7_suffix_levels, op8_line_dedup, op9_quality, op10_decontamination)}
+    return {f.__name__: f for f in (op1_bpe, op2_url_filter, op3_language_id, op4_suffix_tree, op5_hilbert, op6_simhash, op7_suffix_levels, op8_line_dedup, op8_single_lines, op9_quality, op10_decontamination)}
 
 
 #: Spans all of whose runs of 50 words occur elsewhere.
@@ -112,6 +117,25 @@ SELECT doc_id, CASE WHEN gone IS NULL THEN old ELSE text END AS text, lang, sour
 FROM o WHERE gone IS NULL OR ltrim(text, chr(10)) <> ''
 """
 
+#: Lines that occur earlier are deleted; a document with no line left goes.
+SINGLE_LINES_SQL = r"""
+WITH t AS (
+  SELECT *, regexp_extract_all(text, '[^\n]+\n*') AS lines FROM documents
+), l AS (
+  SELECT doc_id, unnest(range(0, len(lines))) AS i, lines FROM t WHERE doc_id IS NOT NULL
+), r AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY rtrim(lines[i + 1], chr(10)) ORDER BY doc_id, i) AS k FROM l
+), d AS (
+  SELECT doc_id, list(i) AS gone FROM r WHERE k > 1 GROUP BY doc_id
+), o AS (
+  SELECT t.doc_id, t.text AS old, t.lang, t.source, t.n_chars, gone,
+    regexp_extract(t.text, '^\n*') || array_to_string(list_filter(lines, lambda x, i: NOT list_contains(gone, i - 1)), '') AS text
+  FROM t LEFT JOIN d ON t.doc_id = d.doc_id
+)
+SELECT doc_id, CASE WHEN gone IS NULL THEN old ELSE text END AS text, lang, source, n_chars, CAST(coalesce(len(gone), 0) AS INTEGER) AS deleted_lines
+FROM o WHERE gone IS NULL OR ltrim(text, chr(10)) <> ''
+"""
+
 #: Longest runs of words that a document shares with a test item, from the 13-word runs on each diagonal.
 LEAKS_SQL = r"""
 WITH d AS (
@@ -139,4 +163,4 @@ FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_wor
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_suffix_tree": REPEATS_SQL, "op7_suffix_levels": REPEATS_SQL, "op8_line_dedup": LINES_SQL, "op10_decontamination": LEAKS_SQL}
+    return {"op4_suffix_tree": REPEATS_SQL, "op7_suffix_levels": REPEATS_SQL, "op8_line_dedup": LINES_SQL, "op8_single_lines": SINGLE_LINES_SQL, "op10_decontamination": LEAKS_SQL}

@@ -77,3 +77,14 @@ def test_query(spark):
 
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert {r["doc_id"]: (r["text"], r["deleted_lines"]) for r in op8_line_dedup(spark, SF).collect()} == lines(rows)
+
+
+def test_query_of_single_lines(spark, tmp_path):
+    """A hot line between other lines, and whole copies of under three lines, go too."""
+    from lexigrove.llm.queries import op8_single_lines
+
+    texts = [(k, f"own {k}\nboilerplate\nmore of {k}") for k in range(9)] + [(20, "one\ntwo"), (21, "one\ntwo"), (22, "boilerplate")]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["text"], r["deleted_lines"]) for r in op8_single_lines(spark, str(tmp_path)).collect()}
+    assert got == lines(texts, 1)
+    assert sum("boilerplate" in t for t, _ in got.values()) == 1 and not {21, 22} & got.keys()
