@@ -22,8 +22,8 @@ RADIUS = 20
 BITS = 128
 #: Bits that a split is by, at least; more where shards would have over SHARD_ROWS fingerprints on average.
 SHARD_BITS, SHARD_ROWS = 18, 256
-#: There are as many splits as it takes to miss no more than MISS of the pairs at distance MISS_AT. Nearer ones are missed less, those at the radius more.
-MISS, MISS_AT = 0.025, 16
+#: There are as many splits as it takes to miss no more than MISS of the pairs at distance MISS_AT, the radius. Nearer ones are missed less.
+MISS, MISS_AT = 0.1, RADIUS
 SEED = 1_729
 #: Fingerprints whose shards' trees are built and searched at a time, at least, and (query, node) pairs followed at a time.
 BATCH_ROWS, FRONTIER = 100_000, 400_000
@@ -134,9 +134,9 @@ def least_labels(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.n
 
 
 def splits(n: int) -> tuple[int, int]:
-    """Bits of a split and number of splits for n fingerprints."""
+    """Bits of a split and number of splits for n fingerprints. A split's bits are distinct, so a pair agrees in them with the chance of drawing them all from the bits in which it agrees."""
     bits = max(SHARD_BITS, math.ceil(math.log2(max(n, 1) / SHARD_ROWS)))
-    return bits, math.ceil(math.log(MISS) / math.log(1 - (1 - MISS_AT / BITS) ** bits))
+    return bits, math.ceil(math.log(MISS) / math.log(1 - math.comb(BITS - MISS_AT, bits) / math.comb(BITS, bits)))
 
 
 def near_edges(nodes: DataFrame, radius: int = RADIUS, shard_bits: int | None = None, tables: int | None = None) -> DataFrame:

@@ -110,6 +110,30 @@ def test_recall_over_pairs(spark):
     assert len(pairs(got)) >= 0.9 * len(pairs(want)) > 0
 
 
+@pytest.mark.parametrize("n", [1, 10**7, 10**8, 10**10])
+def test_splits_find_pairs_at_the_radius(n):
+    """Splits of distinct bits: the chance that one keeps a pair together is that of drawing none of the bits that differ."""
+    bits, tables = simhash.splits(n)
+    apart = 1.0
+    for k in range(bits):
+        apart *= (simhash.BITS - simhash.RADIUS - k) / (simhash.BITS - k)
+    assert 1 - (1 - apart) ** tables >= 0.9
+
+
+def test_recall_at_the_radius(spark):
+    """4,000 pairs, each as far apart as the radius."""
+    rng, rows = np.random.default_rng(11), []
+    for k in range(4_000):
+        bits = rng.integers(0, 2, simhash.BITS, dtype=np.uint8)
+        other = bits.copy()
+        other[rng.choice(simhash.BITS, simhash.RADIUS, replace=False)] ^= 1
+        rows += [(2 * k + i, *(int(x) for x in np.packbits(b).view(np.int64))) for i, b in enumerate((bits, other))]
+    nodes = spark.createDataFrame(rows, "node bigint, hi bigint, lo bigint")
+    got = {(r["node"], r["other"]) for r in simhash.near_edges(nodes).collect()}
+    assert got <= {(2 * k + 1, 2 * k) for k in range(4_000)}
+    assert len(got) >= 0.89 * 4_000  # 0.9 by design, two standard errors less
+
+
 def test_thousands_of_copies_and_ties(spark):
     texts = [(i, "one and the same text, over and over") for i in range(3_000, 0, -1)]
     out = simhash.groups(documents(spark, texts)).collect()
