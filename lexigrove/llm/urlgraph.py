@@ -7,13 +7,15 @@ change little. A host is rejected if its distrust reaches a threshold and outwei
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexigrove.llm.common import Shared, fresh
 
 DAMPING = 0.85
-#: Steps at most, and the summed change that ends them.
-STEPS, TOLERANCE = 40, 1e-6
+#: The summed change that ends the steps.
+TOLERANCE = 1e-6
 #: Distrust of a rejected host, as a multiple of what each host would have if it were spread evenly.
 THRESHOLD = 1.0
 _HREF = r"""(?i)<a\s[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
@@ -43,11 +45,17 @@ def _matches(column: Column, names: list[str]) -> Column:
     return out
 
 
-def propagate(edges: DataFrame, hosts: DataFrame, trusted: list[str], blocked: list[str], damping: float = DAMPING, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
+def most_steps(damping: float = DAMPING, tolerance: float = TOLERANCE) -> int:
+    """Steps after which the summed change is within the tolerance on any graph: it is 4 at most and each step leaves no more than damping times as much."""
+    return math.ceil(math.log(tolerance / 4) / math.log(damping)) + 1 if 0 < damping < 1 else 2
+
+
+def propagate(edges: DataFrame, hosts: DataFrame, trusted: list[str], blocked: list[str], damping: float = DAMPING, steps: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) of the hosts and of all that edges name; each of the two sums to 1, or to 0 without a seed.
 
     A seed is a listed host or one below it. What reaches a host that leads no further goes back to the seeds. Each
-    step's table is written to the shared folder, so that plans stay small and a lost executor costs one step.
+    step's table is written to the shared folder, so that plans stay small and a lost executor costs one step. Scores that
+    haven't settled within ``steps`` (without it, as many as any graph takes) are an error.
     """
     shared = Shared(edges.sparkSession)
     links, _ = shared.write(edges.groupBy("src", "dst").agg(F.sum("n").cast("double").alias("n")))
@@ -60,7 +68,7 @@ def propagate(edges: DataFrame, hosts: DataFrame, trusted: list[str], blocked: l
     share_t, share_d = (F.col(c) / F.lit(x or 1.0) for c, x in zip("td", totals))
     now, path = shared.write(base.select("host", share_t.alias("t"), share_d.alias("d"), "out", "in", share_t.alias("trust"), share_d.alias("distrust"), F.lit(0.0).alias("change")))
     lost = [F.coalesce(F.sum(F.when(F.col(a) == 0, F.col(b))), F.lit(0.0)) for a, b in (("out", "trust"), ("in", "distrust"))]
-    for _ in range(steps):
+    for _ in range(most_steps(damping, tolerance) if steps is None else steps):
         lost_t, lost_d = now.agg(*lost).first()
         forward = links.join(now.select(F.col("host").alias("src"), "trust", "out"), "src").select(F.col("dst").alias("host"), (F.col("trust") * F.col("n") / F.col("out")).alias("a"), F.lit(0.0).alias("b"))
         backward = links.join(now.select(F.col("host").alias("dst"), "distrust", "in"), "dst").select(F.col("src").alias("host"), F.lit(0.0).alias("a"), (F.col("distrust") * F.col("n") / F.col("in")).alias("b"))
@@ -72,8 +80,8 @@ def propagate(edges: DataFrame, hosts: DataFrame, trusted: list[str], blocked: l
         shared.drop(path)
         now, path = new, new_path
         if (now.agg(F.sum("change")).first()[0] or 0.0) <= tolerance:
-            break
-    return now.select("host", "trust", "distrust")
+            return now.select("host", "trust", "distrust")
+    raise RuntimeError("trust and distrust have not settled")
 
 
 def filter_hosts(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -82,7 +90,7 @@ def filter_hosts(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return scores.withColumn("rejected", (F.col("distrust") >= threshold / max(n, 1)) & (F.col("distrust") > F.col("trust")))
 
 
-def filter_urls(pages: DataFrame, trusted: list[str], blocked: list[str], url: str = "url", html: str = "html", threshold: float = THRESHOLD, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
+def filter_urls(pages: DataFrame, trusted: list[str], blocked: list[str], url: str = "url", html: str = "html", threshold: float = THRESHOLD, damping: float = DAMPING, steps: int | None = None) -> DataFrame:
     """pages with ``host``, ``trust``, ``distrust`` and ``rejected``.
 
     Pages whose URL is null or has no host have nulls there and aren't rejected; null or empty HTML has no links. Without

@@ -69,6 +69,16 @@ def test_against_matrices(spark, seed):
         assert rejected == (want[h][1] >= 1 / len(names) and want[h][1] > want[h][0])
 
 
+def test_slowly_settling_scores(spark):
+    """Two hosts that link to each other only: what moves swings between them and fades by the damping alone."""
+    rows = [("http://a.com/", link("http://b.com/")), ("http://b.com/", link("http://a.com/"))]
+    got = {r["host"]: r for r in urlgraph.filter_urls(pages(spark, rows), ["a.com"], ["b.com"]).collect()}
+    for own, other, seed in (("trust", "distrust", "a.com"), ("distrust", "trust", "b.com")):
+        assert got[seed][own] == pytest.approx(1 / 1.85, abs=1e-5) and got[seed][other] == pytest.approx(0.85 / 1.85, abs=1e-5)
+    with pytest.raises(RuntimeError):
+        urlgraph.filter_urls(pages(spark, rows), ["a.com"], ["b.com"], steps=40)
+
+
 def test_distrust_moves_backwards_and_trust_forwards(spark):
     rows = [("http://seed.edu/", link("http://friend.org/")), ("http://friend.org/", ""), ("http://farm.biz/", link("http://bad.com/a", "http://bad.com/b")), ("http://bad.com/", ""), ("http://alone.net/", "")]
     got = {r["host"]: r for r in urlgraph.filter_urls(pages(spark, rows), ["seed.edu"], ["bad.com"]).collect()}
