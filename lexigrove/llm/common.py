@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes tokenised at a time.
 CHUNK = 1 << 20
@@ -209,6 +209,10 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: A table is broadcast if it has no more rows and, as Parquet, no more bytes than this; else the other side is shuffled too.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 8 << 20
+
+
 class Shared:
     """Tables written to the shared folder; ``drop`` deletes one when nothing reads it any more."""
 
@@ -216,6 +220,14 @@ class Shared:
         self.spark, self.root = spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
         self.count = 0
 
+    def small(self, df: DataFrame) -> DataFrame:
+        """The rows as a written table, to be broadcast in joins if its measured size allows that."""
+        out, path = self.write(df)
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        size = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+        return F.broadcast(out) if size <= BROADCAST_BYTES and out.count() <= BROADCAST_ROWS else out
+
     def write(self, df: DataFrame) -> tuple[DataFrame, str]:
         self.count += 1
         path = f"{self.root}/{self.count}"
@@ -228,6 +240,25 @@ class Shared:
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def known(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text, text_hash) of the rows that have id and text, the id in its own type; other columns are not read.
+
+    A document is an id with a text: equal rows are one, and different texts under one id are several.
+    """
+    rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    return rows.withColumn("text_hash", F.xxhash64("text"))
+
+
+def type_of(df: DataFrame, column: str = "doc_id") -> str:
+    """The column's type as in a schema string."""
+    return df.schema[column].dataType.simpleString()
+
+
+def same_document(docs: DataFrame, key: str, text: str, found: DataFrame) -> Column:
+    """Whether a row of docs is the document (doc_id, text_hash) that a row of found tells of."""
+    return (docs[f"`{key}`"] == found["doc_id"]) & (F.xxhash64(docs[f"`{text}`"].cast("string")) == found["text_hash"])
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores added while the input has a column of this name (in any case)."""
     taken = {c.lower() for c in df.columns}

@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lexigrove.llm.common import expand, text_slices, tokens
-from lexigrove.llm.spans import known
 
 #: Words in a row that make a document a copy of a test; an item of fewer words must be there as a whole.
 MIN_WORDS = 13

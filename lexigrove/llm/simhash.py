@@ -1,30 +1,25 @@
 """SimHash near-dedup with BK-trees.
 
-A document's fingerprint has 128 bits, each the majority of that bit over the hashes of its distinct words. Fingerprints are
-split into shards by some of their bits; several such splits, each by other bits, make it likely that two near ones meet in
-a shard. Each shard's fingerprints form a BK-tree, searched for every one of them along the edges within the radius only.
-Shards stay where they are instead of being broadcast, since all of them together are as large as the corpus's fingerprints.
+A document's fingerprint has 128 bits, each the majority of that bit over the hashes of its distinct words. The bits are cut
+into blocks, so many that two fingerprints within the radius differ by no more than two bits in some block. Each fingerprint
+goes to the shards named by its blocks as they are and with each single bit flipped, so that two such meet in a shard: no pair
+is missed. Each shard's fingerprints form a BK-tree, searched for every one of them along the edges within the radius only.
+Shards stay where they are instead of being broadcast, since all of them together are larger than the corpus's fingerprints.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexigrove.llm.common import FOLD, NOT_ALNUM, Shared, expand, mix, text_slices, tokens
-from lexigrove.llm.spans import grouped, known
+from lexigrove.llm.common import FOLD, NOT_ALNUM, Shared, expand, known, mix, same_document, text_slices, tokens, type_of
+from lexigrove.llm.spans import grouped
 
 RADIUS = 20
 BITS = 128
-#: Bits that a split is by, at least; more where shards would have over SHARD_ROWS fingerprints on average.
-SHARD_BITS, SHARD_ROWS = 18, 256
-#: There are as many splits as it takes to miss no more than MISS of the pairs at distance MISS_AT, the radius. Nearer ones are missed less.
-MISS, MISS_AT = 0.1, RADIUS
-SEED = 1_729
 #: Fingerprints whose shards' trees are built and searched at a time, at least, and (query, node) pairs followed at a time.
 BATCH_ROWS, FRONTIER = 100_000, 400_000
 
@@ -53,18 +48,18 @@ def simhash(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return words[:, 0], words[:, 1], size
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, hi, lo) of every row that has an id and a word."""
+def fingerprints(rows: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, hi, lo) of every document of ``common.known`` that has a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
             for a, b, buf, offsets in text_slices(batch, "text", 2 << 20):
                 hi, lo, size = simhash(buf, offsets)
-                own = size > 0
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][own]), pa.array(hi[own].view(np.int64)), pa.array(lo[own].view(np.int64))], ["doc_id", "hi", "lo"])
+                own = np.flatnonzero(size)
+                named = [batch.column(i).take(pa.array(a + own)) for i in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*named, pa.array(hi[own].view(np.int64)), pa.array(lo[own].view(np.int64))], ["doc_id", "text_hash", "hi", "lo"])
 
-    return known(docs, key, text).mapInArrow(run, "doc_id bigint, hi bigint, lo bigint")
+    return rows.mapInArrow(run, f"doc_id {type_of(rows)}, text_hash bigint, hi bigint, lo bigint")
 
 
 def distance(ah: np.ndarray, al: np.ndarray, bh: np.ndarray, bl: np.ndarray) -> np.ndarray:
@@ -110,6 +105,8 @@ class Trees:
             b = np.searchsorted(self.slots, node * (BITS + 1) + np.minimum(d + radius, BITS), "right")
             many = b - a
             q, node = np.repeat(q, many), self.children[np.repeat(a, many) + expand(many)]
+            early = node < q  # what is below a node is later than it
+            q, node = q[early], node[early]
             if len(q):
                 stack.append((q, node))
 
@@ -133,28 +130,30 @@ def least_labels(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.n
     return label
 
 
-def splits(n: int) -> tuple[int, int]:
-    """Bits of a split and number of splits for n fingerprints. A split's bits are distinct, so a pair agrees in them with the chance of drawing them all from the bits in which it agrees."""
-    bits = max(SHARD_BITS, math.ceil(math.log2(max(n, 1) / SHARD_ROWS)))
-    return bits, math.ceil(math.log(MISS) / math.log(1 - math.comb(BITS - MISS_AT, bits) / math.comb(BITS, bits)))
+def blocks(radius: int) -> list[list[int]]:
+    """The bits of each block: with more than a third of the radius as many blocks, some block has at most two of the differing bits."""
+    n = radius // 3 + 1
+    return [list(part) for part in np.array_split(np.arange(BITS), n)]
 
 
-def near_edges(nodes: DataFrame, radius: int = RADIUS, shard_bits: int | None = None, tables: int | None = None) -> DataFrame:
-    """(node, other): edges with other < node that connect the nodes (node, hi, lo) which are within the radius and meet in a shard, as their pairs would."""
-    if shard_bits is None or tables is None:
-        shard_bits, tables = splits(nodes.count())
-    rng = np.random.default_rng(SEED)
-    chosen = [np.sort(rng.choice(BITS, shard_bits, replace=False)) for _ in range(tables)]
+def shard_keys(hi: np.ndarray, lo: np.ndarray, radius: int) -> Iterator[np.ndarray]:
+    """For each block, and for it as it is and with each bit flipped, every fingerprint's shard. Two fingerprints that differ by two bits in a block have a shard in common, as each may flip one. Blocks whose keys collide only make a shard larger."""
+    for i, bits in enumerate(blocks(radius)):
+        masks = [sum(1 << (b & 63) for b in bits if b >> 6 == word) for word in (0, 1)]
+        h, l = hi & np.uint64(masks[0]), lo & np.uint64(masks[1])
+        for flip in (None, *bits):
+            fh, fl = ((1 << (flip & 63)) * (flip >> 6 == word) if flip is not None else 0 for word in (0, 1))
+            yield mix(mix((h ^ np.uint64(fh)) + np.uint64(i + 1)) ^ l ^ np.uint64(fl))
+
+
+def near_edges(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(node, other): edges with other < node that connect the nodes (node, hi, lo) as the pairs within the radius would, all of them."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, hi, lo = (batch.column(i) for i in range(3))
-            words = np.stack([hi.to_numpy().view(np.uint64), lo.to_numpy().view(np.uint64)], 1)
-            for t, bits in enumerate(chosen):
-                key = np.full(batch.num_rows, t, np.uint64)
-                for b in bits:
-                    key = (key << np.uint64(1)) | ((words[:, b >> 6] >> np.uint64(b & 63)) & np.uint64(1))
-                yield pa.RecordBatch.from_arrays([pa.array(mix(key).view(np.int64)), node, hi, lo], ["shard", "node", "hi", "lo"])
+            for key in shard_keys(hi.to_numpy().view(np.uint64), lo.to_numpy().view(np.uint64), radius):
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), node, hi, lo], ["shard", "node", "hi", "lo"])
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, 0, BATCH_ROWS):
@@ -193,25 +192,33 @@ def components(edges: DataFrame, shared: Shared) -> DataFrame:
             return edges
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shard_bits: int | None = None, tables: int | None = None) -> DataFrame:
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """(doc_id, text_hash, group_id, kept) as ``groups`` has it, with the hash that tells apart the texts of one id."""
+    shared = Shared(docs.sparkSession)
+    prints, _ = shared.write(fingerprints(known(docs, key, text)).distinct())
+    # numbers hold once they are written
+    nodes, _ = shared.write(prints.groupBy("hi", "lo").agg(F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("node"), "hi", "lo", "n"))
+    least = components(near_edges(nodes, radius), shared).withColumnRenamed("other", "label")
+    labelled, _ = shared.write(nodes.join(least, "node", "left").select("hi", "lo", "n", F.coalesce("label", "node").alias("label")))
+    several = labelled.groupBy("label").agg(F.sum("n").alias("members")).where("members > 1").select("label")
+    members, _ = shared.write(prints.join(labelled.join(several, "label", "left_semi"), ["hi", "lo"]).select("doc_id", "text_hash", "label"))
+    heads = members.groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("head"))
+    return members.join(heads, "label").select("doc_id", "text_hash", F.col("head.doc_id").alias("group_id"), (F.struct("doc_id", "text_hash") == F.col("head")).alias("kept"))
+
+
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """(doc_id, group_id, kept) of every document that is near another: group_id is the least id of those that are near, directly or through others, and that document is kept.
 
-    Words are runs of ASCII letters and digits, ASCII case folded, and of all other characters. Texts without a word (null,
-    empty, only signs) and rows without id are in no group. Documents with equal words have equal fingerprints and are in
-    one group whatever their number. Rows of one id are one document, so repeated rows alone make no group. Only the two
-    columns are read.
+    Near are all fingerprints within the radius; none is missed. Words are runs of ASCII letters and digits, ASCII case folded,
+    and of all other characters. Texts without a word (null, empty, only signs) and rows without id are in no group. Documents
+    with equal words have equal fingerprints and are in one group whatever their number. Rows of one id with one text are one
+    document, so repeated rows alone make no group; different texts under one id are documents of their own, in the order of
+    a hash of their texts. Ids keep their type, which can be any that has an order. Only the two columns are read.
     """
-    shared = Shared(docs.sparkSession)
-    prints, _ = shared.write(fingerprints(docs, key, text))
-    nodes, _ = shared.write(prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("node")))
-    linked = prints.join(nodes, ["hi", "lo"]).where("doc_id <> node").select(F.col("doc_id").alias("node"), F.col("node").alias("other"))
-    least = components(near_edges(nodes, radius, shard_bits, tables).unionByName(linked), shared)
-    members = least.select(F.col("node").alias("doc_id"), F.col("other").alias("group_id"), F.lit(False).alias("kept"))
-    heads = least.select(F.col("other").alias("doc_id"), F.col("other").alias("group_id"), F.lit(True).alias("kept")).distinct()
-    return members.unionByName(heads)
+    return classes(docs, key, text, radius).drop("text_hash")
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shard_bits: int | None = None, tables: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """docs without those that ``groups`` doesn't keep; all other rows and all columns stay. Repeated rows of a kept document stay too."""
-    gone = groups(docs, key, text, radius, shard_bits, tables).where("not kept").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, docs[f"`{key}`"].cast("bigint") == gone["gone"], "left_anti")
+    gone = Shared(docs.sparkSession).small(classes(docs, key, text, radius).where("not kept").select("doc_id", "text_hash"))
+    return docs.join(gone, same_document(docs, key, text, gone), "left_anti")

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexigrove.llm.common import Windows, expand, mix, text_slices, tokens, winnow
+from lexigrove.llm.common import Windows, expand, known, mix, text_slices, tokens, winnow
 
 MIN_WORDS = 50
 PREFIX = 20
@@ -33,11 +33,6 @@ def prefix_words(min_words: int) -> int:
     return max(1, min(PREFIX, min_words * PREFIX // MIN_WORDS))
 
 
-def known(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text) of the rows that have both; other columns are not read."""
-    return docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("doc_id is not null and text is not null")
-
-
 def anchors(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int = PREFIX) -> DataFrame:
     """(prefix, doc_id, pos): the hash of the first words, the document and the first word of each sampled suffix."""
     w = min_words - prefix + 1
