@@ -63,6 +63,27 @@ def test_nulls_empty_repeated_rows_and_clashing_names(spark):
     assert out.where("text is null").count() == 1
 
 
+def test_texts_of_one_id_and_ids_of_other_types(spark):
+    """A document loses its own lines only, whatever else has its id."""
+    rows = [("0", "a\nb\nc"), ("1", "a\nb\nc\nown"), ("1", "x\ny\nz\nunique tail"), ("1", "x\ny\nz\nunique tail")]
+    want = [("0", "a\nb\nc", 0), ("1", "own", 3), ("1", "x\ny\nz\nunique tail", 0), ("1", "x\ny\nz\nunique tail", 0)]
+    for kind in ("string", "binary", "decimal(20,0)", "bigint"):
+        df = spark.createDataFrame(rows, "doc_id string, text string").selectExpr(f"cast(doc_id as {kind}) as doc_id", "text")
+        out = linededup.dedup_lines(df)
+        assert dict(out.dtypes)["doc_id"] == kind
+        assert sorted(tuple(r) for r in out.withColumn("doc_id", out["doc_id"].cast("string")).collect()) == want
+    # of two texts of one id that share lines, one keeps them
+    out = linededup.dedup_lines(documents(spark, [(1, "a\nb\nc\nd"), (1, "a\nb\nc\ne")])).collect()
+    assert sorted((len(r["text"].split("\n")), r["deleted_lines"]) for r in out) == [(1, 3), (4, 0)]
+
+
+def test_large_ranges_are_joined_without_a_broadcast(spark, monkeypatch):
+    from lexigrove.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    check(spark, corpus(5))
+
+
 def test_empty_table(spark):
     assert linededup.dedup_lines(documents(spark, [])).collect() == []
 
