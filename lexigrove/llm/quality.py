@@ -163,18 +163,21 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, targets: tuple[str, ...] = TARGETS) -> bytes:
-    """The fitted model, from at most sample_rows labelled texts; a target that has no labels, or one class only, gives that class's share as every text's probability."""
-    chosen = labels.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), *(F.col(t).cast("double").alias(t) for t in targets)).where("doc_id is not null").where(" and ".join(f"{t} is not null" for t in targets))
+    """The fitted model, from at most sample_rows labelled texts; a target that has no labels, or one class only, gives that class's share as every text's probability.
+
+    Ids of both tables have one type, whichever. Of several labels of an id the least counts, of several texts the first in order.
+    """
+    chosen = labels.select(F.col(f"`{key}`").alias("doc_id"), *(F.col(t).cast("double").alias(t) for t in targets)).where("doc_id is not null").where(" and ".join(f"{t} is not null" for t in targets))
     sample = chosen.groupBy("doc_id").agg(*(F.min(t).alias(t) for t in targets)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("text is not null")
-    joined = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"), *(F.first(t).alias(t) for t in targets))
+    texts = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("text is not null")
+    joined = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), *(F.first(t).alias(t) for t in targets)).withColumn("mixed", F.xxhash64("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for batch in batches for r in batch.to_pylist()]
         if not rows:
             return
         rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-        ids = np.array([r["doc_id"] for r in rows]).astype(np.uint64)
+        ids = np.array([r["mixed"] for r in rows]).astype(np.uint64)
         y = {t: np.array([float(r[t] > 0) for r in rows]) for t in targets}
         mixed = {t: v for t, v in y.items() if 0 < v.mean() < 1}
         model = fit([r["text"] for r in rows], mixed, mix(ids) % np.uint64(HELD_OUT) == 0) if mixed else {"chosen": np.zeros(0, np.uint64), "targets": {}}

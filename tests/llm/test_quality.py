@@ -157,3 +157,21 @@ def test_query_keeps_what_its_model_keeps(spark):
     got = {r["doc_id"]: (r["p_quality"], r["p_toxic"]) for r in op9_quality(spark, sf).collect()}
     assert got.keys() == want.keys()
     assert all(got[i] == pytest.approx(want[i], abs=1e-9) for i in got)
+
+
+def test_ids_that_are_strings(spark):
+    """The same model as with numbers, up to which texts are held out."""
+    texts = [(f"d{i}", ("good plain words about things " if i % 2 else "zz qq xx yy ") * (3 + i % 5)) for i in range(80)]
+    docs = spark.createDataFrame(texts, "doc_id string, text string")
+    labels = spark.createDataFrame([(k, int(int(k[1:]) % 2), 0) for k, _ in texts], "doc_id string, quality int, toxic int")
+    kept = {r["doc_id"] for r in quality.keep(docs, quality.train(docs, labels)).collect()}
+    assert kept == {k for k, _ in texts if int(k[1:]) % 2}
+
+
+def test_ties_at_the_thresholds(spark, monkeypatch):
+    """Probabilities equal to the thresholds: quality passes, toxicity doesn't."""
+    docs = documents(spark, [(1, "a text")])
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    model = quality.train(docs, labels)  # one class each: 1 and 0 for every text
+    assert quality.keep(docs, model, min_quality=1.0, max_toxic=1e-9).count() == 1
+    assert quality.keep(docs, model, min_quality=1.0, max_toxic=0.0).count() == 0
