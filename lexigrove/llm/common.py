@@ -158,6 +158,10 @@ class Windows:
         m = self.n - k + 1
         return mix((self.sums[k:] - self.sums[:m]) * self.down[:m] + np.uint64(k)) if m > 0 else np.zeros(0, np.uint64)
 
+    def at(self, start: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Hashes of the windows of k tokens from start on."""
+        return mix((self.sums[start + k] - self.sums[start]) * self.down[start] + k.astype(np.uint64))
+
 
 def sliding(a: np.ndarray, w: int, op: np.ufunc) -> np.ndarray:
     """op over a[i : i + w] for each i that has w elements, by doubling."""

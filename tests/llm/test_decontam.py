@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from lexigrove.llm import decontam
+from lexigrove.llm.common import tokens
 from tests.llm.util import SF, documents, leaks, same
 
 
@@ -42,7 +44,40 @@ def test_against_every_pair(spark, seed, vocabulary):
 def test_many_parts_of_the_tests(spark, monkeypatch):
     docs, items = corpus(4)
     monkeypatch.setattr(decontam, "TEST_BYTES", 300)
-    same(decontam.matches(documents(spark, docs), benchmark(spark, items)), leaks(docs, items))
+    monkeypatch.setattr(decontam, "PAIRS", 7)
+    want = leaks(docs, items)
+    same(decontam.matches(documents(spark, docs), benchmark(spark, items)), want)
+    left = decontam.decontaminate(documents(spark, [*docs, (None, docs[0][1]), (99, None)]), benchmark(spark, items)).collect()
+    near = {x[0] for x in want}
+    assert sorted(str(r["doc_id"]) for r in left) == sorted(str(i) for i in [*({i for i, _ in docs} - near), 99, *([] if 0 in near else [None])])
+
+
+def test_bitmap_leaves_what_has_a_run(spark):
+    docs, items = corpus(6)
+    rows, tests = decontam.known(documents(spark, docs)), decontam.known(benchmark(spark, items), "item_id")
+    assert {r["doc_id"] for r in decontam._candidates(rows, tests, 13).collect()} == {x[0] for x in leaks(docs, items)}
+
+
+@pytest.mark.parametrize("word", [["a"], ["a", "b"], ["a", "b", "a", "a", "b"]])
+def test_a_text_that_repeats_itself(spark, word):
+    """An item of 2,000 words in a text of 100,000: 199 million pairs of places, of which few are looked at."""
+    item, text = (word * 2_000)[:2_000], (word * 100_000)[:100_000]
+    texts = [(1, " ".join(["x", *text])), (2, " ".join(["y", *item[3:], "z"])), (3, " ".join(item[:12]))]
+    got = decontam.matches(documents(spark, texts), benchmark(spark, [(9, " ".join(item))]))
+    same(got, [(1, 9, 2_000, 1, 0), (2, 9, 1_997, 1, 0 if len(word) == 1 else 1 if len(word) == 2 else 3)])
+    built = decontam.Tests(np.zeros(1, np.int64), [" ".join(item)])
+    h, _, _, first = tokens(np.frombuffer(texts[0][1].encode(), np.uint8), np.array([0, len(texts[0][1])]))
+    array = decontam.SuffixArray(h, first, 13)
+    which = np.arange(len(built.suffix))
+    assert sum(len(t) for t, _ in built._pairs(array, which, *array.bounds(built.keys, built.masks))) < 500_000
+
+
+def test_ids_of_other_types_and_texts_of_one_id(spark):
+    t, u = (" ".join(f"{c}{i}" for i in range(20)) for c in "vw")
+    docs = spark.createDataFrame([("d", t), ("d", f"x {u}"), ("e", "nothing")], "doc_id string, text string")
+    items = spark.createDataFrame([("one", t), ("one", u), ("two", u[3:])], "item_id string, text string")
+    same(decontam.matches(docs, items), [("d", "one", 20, 0, 0), ("d", "one", 20, 1, 0), ("d", "two", 19, 2, 0)])
+    assert [r["doc_id"] for r in decontam.decontaminate(docs, items).collect()] == ["e"]
 
 
 def test_twelve_words_are_clean_and_thirteen_are_not(spark):
