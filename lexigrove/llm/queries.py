@@ -38,6 +38,12 @@ def op5_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard(table(spark, sf_dir, "documents"), ["n_chars", "source", "lang"], F.octet_length("text"))
 
 
+def op5_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document stands in each dimension of the curve."""
+    docs = table(spark, sf_dir, "documents")
+    return hilbert.cells(docs.select("doc_id", "n_chars", "source", "lang"), ["n_chars", "source", "lang"]).select("doc_id", "n_chars_cell", "source_cell", "lang_cell")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
@@ -66,7 +72,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_url_filter, op3_language_id, op4_suffix_tree, op5_hilbert, op6_simhash, op7_suffix_levels, op8_line_dedup, op8_single_lines, op9_quality, op10_decontamination)}
+    return {f.__name__: f for f in (op1_bpe, op2_url_filter, op3_language_id, op4_suffix_tree, op5_hilbert, op5_cells, op6_simhash, op7_suffix_levels, op8_line_dedup, op8_single_lines, op9_quality, op10_decontamination)}
 
 
 #: Spans all of whose runs of 50 words occur elsewhere.
@@ -162,5 +168,14 @@ FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_wor
 """
 
 
+#: A value's cell is the share of documents with a lesser one, in 64 steps.
+CELLS_SQL = "WITH " + ", ".join(
+    f"{c} AS (SELECT {c} AS v, CAST(coalesce(sum(count(*)) OVER (ORDER BY {c} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 64 // sum(count(*)) OVER () AS INTEGER) AS cell FROM documents WHERE {c} IS NOT NULL GROUP BY {c})" for c in ("n_chars", "source", "lang")
+) + """
+SELECT doc_id, coalesce(n_chars.cell, 0) AS n_chars_cell, coalesce(source.cell, 0) AS source_cell, coalesce(lang.cell, 0) AS lang_cell
+FROM documents LEFT JOIN n_chars ON documents.n_chars = n_chars.v LEFT JOIN source ON documents.source = source.v LEFT JOIN lang ON documents.lang = lang.v
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_suffix_tree": REPEATS_SQL, "op7_suffix_levels": REPEATS_SQL, "op8_line_dedup": LINES_SQL, "op8_single_lines": SINGLE_LINES_SQL, "op10_decontamination": LEAKS_SQL}
+    return {"op5_cells": CELLS_SQL, "op4_suffix_tree": REPEATS_SQL, "op7_suffix_levels": REPEATS_SQL, "op8_line_dedup": LINES_SQL, "op8_single_lines": SINGLE_LINES_SQL, "op10_decontamination": LEAKS_SQL}
