@@ -29,6 +29,28 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlgraph.filter_urls(pages, TRUSTED_HOSTS, BLOCKED_HOSTS).select("page_id", "url", "host", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"), "rejected")
 
 
+def op2_host_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of the pages as they are: (src, dst, n)."""
+    return urlgraph.host_edges(table(spark, sf_dir, "pages"))
+
+
+def linked_pages(pages: DataFrame) -> DataFrame:
+    """(src, dst, n): the hosts of all pages, linked by a rule, since the pages' own links stay within their hosts: each page links to those with the ids 2 * id + 1 and 7 * id + 3."""
+    named = pages.select("page_id", urlgraph.host(F.col("url")).alias("host")).where("host is not null")
+    links = named.select(F.col("host").alias("src"), F.explode(F.array(2 * F.col("page_id") + 1, 7 * F.col("page_id") + 3)).alias("page_id"))
+    return links.join(named.withColumnRenamed("host", "dst"), "page_id").groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def op2_linked_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trust and distrust over links between hosts. Trusted is the host of the least page id, blocked that of the greatest, where it is another."""
+    pages = table(spark, sf_dir, "pages")
+    named = pages.select("page_id", urlgraph.host(F.col("url")).alias("host")).where("host is not null")
+    trusted = named.agg(F.min_by("host", "page_id").alias("name"))
+    blocked = named.agg(F.max_by("host", "page_id").alias("name"))
+    scores = urlgraph.filter_hosts(urlgraph.propagate(linked_pages(pages), named, trusted, blocked))
+    return scores.select("host", F.round("trust", 7).alias("trust"), F.round("distrust", 7).alias("distrust"), "rejected")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.prototypes(docs))
@@ -72,7 +94,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_url_filter, op3_language_id, op4_suffix_tree, op5_hilbert, op5_cells, op6_simhash, op7_suffix_levels, op8_line_dedup, op8_single_lines, op9_quality, op10_decontamination)}
+    return {f.__name__: f for f in (op1_bpe, op2_url_filter, op2_host_edges, op2_linked_hosts, op3_language_id, op4_suffix_tree, op5_hilbert, op5_cells, op6_simhash, op7_suffix_levels, op8_line_dedup, op8_single_lines, op9_quality, op10_decontamination)}
 
 
 #: Spans all of whose runs of 50 words occur elsewhere.
@@ -177,5 +199,19 @@ FROM documents LEFT JOIN n_chars ON documents.n_chars = n_chars.v LEFT JOIN sour
 """
 
 
+_HOST = r"nullif(rtrim(lower(regexp_extract(trim({}), '^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.'), '')"
+#: Links counted by the hosts that they lead from and to.
+EDGES_SQL = rf"""
+WITH l AS (
+  SELECT {_HOST.format("url")} AS src, unnest(regexp_extract_all(html, '<a\s[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'i')) AS href FROM pages
+), k AS (
+  SELECT src, replace(href, '&amp;', '&') AS href FROM l WHERE src IS NOT NULL
+), e AS (
+  SELECT src, CASE WHEN regexp_matches(href, '^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//') THEN {_HOST.format("href")} WHEN NOT regexp_matches(href, '^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:|#)') THEN src END AS dst FROM k
+)
+SELECT src, dst, count(*) AS n FROM e WHERE dst IS NOT NULL GROUP BY src, dst
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_cells": CELLS_SQL, "op4_suffix_tree": REPEATS_SQL, "op7_suffix_levels": REPEATS_SQL, "op8_line_dedup": LINES_SQL, "op8_single_lines": SINGLE_LINES_SQL, "op10_decontamination": LEAKS_SQL}
+    return {"op2_host_edges": EDGES_SQL, "op5_cells": CELLS_SQL, "op4_suffix_tree": REPEATS_SQL, "op7_suffix_levels": REPEATS_SQL, "op8_line_dedup": LINES_SQL, "op8_single_lines": SINGLE_LINES_SQL, "op10_decontamination": LEAKS_SQL}

@@ -22,19 +22,30 @@ def link(*urls):
     return "<p>" + " ".join(f'<a class="x" href="{u}">t</a>' for u in urls) + "</p>"
 
 
-def dense(edges, names, trusted, blocked, damping=0.85, steps=40, tolerance=1e-6):
-    """{host: (trust, distrust)} by multiplying whole matrices."""
+def listed(host, trusted, blocked):
+    """(trusted, blocked) by the longest listed domain; a domain on both lists is blocked."""
+    labels = host.split(".")
+    for k in range(len(labels)):
+        name = ".".join(labels[k:])
+        if name in blocked or name in trusted:
+            return float(name not in blocked), float(name in blocked)
+    return 0.0, 0.0
+
+
+def dense(edges, names, trusted, blocked, damping=0.85, tolerance=1e-6):
+    """{host: (trust, distrust)} by multiplying whole matrices until they settle."""
     n, at = len(names), {h: i for i, h in enumerate(names)}
     m = np.zeros((n, n))
     for s, d, k in edges:
-        m[at[s], at[d]] += k
+        if s != d:
+            m[at[s], at[d]] += k
     out = []
     seeds = []
-    for listed in (trusted, blocked):
-        s = np.array([float(any(h == x or h.endswith("." + x) for x in listed)) for h in names])
+    for which in (0, 1):
+        s = np.array([listed(h, trusted, blocked)[which] for h in names])
         seeds.append(s / s.sum() if s.sum() else s)
     now = [s.copy() for s in seeds]
-    for _ in range(steps):
+    while True:
         new = []
         for s, v, a in zip(seeds, now, (m, m.T)):
             total = a.sum(1)
@@ -43,8 +54,7 @@ def dense(edges, names, trusted, blocked, damping=0.85, steps=40, tolerance=1e-6
         change = sum(np.abs(x - y).sum() for x, y in zip(new, now))
         now = new
         if change <= tolerance:
-            break
-    return {h: (now[0][i], now[1][i]) for h, i in at.items()}
+            return {h: (now[0][i], now[1][i]) for h, i in at.items()}
 
 
 def web(seed):
@@ -119,6 +129,32 @@ def test_very_long_page(spark):
     assert got == {"a.com": True, "bad.com": True, "b.com": False, "c.com": False}
 
 
+def test_seeds_by_the_longest_domain(spark):
+    hosts = ["a.b.com", "b.com", "c.a.b.com", "xb.com", "com", "q.org", "z.q.org"]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r["host"]: (r["t"], r["d"]) for r in urlgraph.seeds(df, ["B.com.", "q.org", ""], ["a.b.com", "q.org"]).collect()}
+    assert got == {h: listed(h, {"b.com", "q.org"}, {"a.b.com", "q.org"}) for h in hosts if any(listed(h, {"b.com", "q.org"}, {"a.b.com", "q.org"}))}
+    assert got["c.a.b.com"] == (0.0, 1.0) and got["b.com"] == (1.0, 0.0) and got["z.q.org"] == (0.0, 1.0)
+    many = spark.range(20_000).selectExpr("concat('s', id, '.net') as name")
+    assert urlgraph.seeds(spark.createDataFrame([("x.s7.net",), ("s20000.net",)], "host string"), [], many).count() == 1
+
+
+def test_links_within_a_host_and_equal_scores(spark):
+    """A host that only links to itself passes nothing on; where distrust equals trust, nothing is rejected."""
+    rows = [("http://bad.com/", link("http://bad.com/x") * 50 + link("http://next.com/")), ("http://to.com/", link("/own") * 50 + link("http://bad.com/")), ("http://next.com/", "")]
+    got = {r["host"]: r for r in urlgraph.filter_urls(pages(spark, rows), [], ["bad.com"]).collect()}
+    assert got["to.com"]["distrust"] == pytest.approx(0.85 / 1.85, abs=1e-5) and got["to.com"]["rejected"] and got["next.com"]["distrust"] == 0
+    scores = spark.createDataFrame([("a", 0.5, 0.5), ("b", 0.4999, 0.5)], "host string, trust double, distrust double")
+    assert {r["host"]: r["rejected"] for r in urlgraph.filter_hosts(scores).collect()} == {"a": False, "b": True}
+
+
+def check_query(spark, edges, hosts, out, trusted, blocked, within):
+    want = dense(edges, sorted(hosts | {x for e in edges for x in e[:2]}), trusted, blocked)
+    for r in out:
+        if r["host"]:
+            assert (r["trust"], r["distrust"]) == pytest.approx(want[r["host"]], abs=within)
+
+
 def test_query(spark):
     from lexigrove.llm.queries import BLOCKED_HOSTS, TRUSTED_HOSTS, op2_url_filter
 
@@ -126,9 +162,22 @@ def test_query(spark):
     table = spark.read.parquet(f"{sf}/pages.parquet")
     edges = [tuple(r) for r in urlgraph.host_edges(table).collect()]
     own = {r["h"] for r in table.select(urlgraph.host(F.col("url")).alias("h")).collect()} - {None}
-    want = dense(edges, sorted(own | {x for e in edges for x in e[:2]}), TRUSTED_HOSTS, BLOCKED_HOSTS)
     out = op2_url_filter(spark, sf).collect()
     assert len(out) == table.count()
-    for r in out:
-        if r["host"]:
-            assert (r["trust"], r["distrust"]) == pytest.approx(want[r["host"]], abs=2e-9)
+    check_query(spark, edges, own, out, TRUSTED_HOSTS, BLOCKED_HOSTS, 2e-9)
+
+
+def test_query_of_linked_hosts(spark):
+    """Scores move between hosts here."""
+    from lexigrove.llm.queries import op2_linked_hosts
+
+    sf = "/root/testdata/sf0.01"
+    rows = [(r["page_id"], r["h"]) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", urlgraph.host(F.col("url")).alias("h")).collect() if r["h"]]
+    at = {}
+    for i, h in rows:
+        at.setdefault(i, []).append(h)
+    edges = [(h, d, 1) for i, h in rows for j in (2 * i + 1, 7 * i + 3) for d in at.get(j, ())]
+    out = op2_linked_hosts(spark, sf).collect()
+    assert {r["host"] for r in out} == {h for _, h in rows} and any(r["rejected"] for r in out)
+    assert sum(r["trust"] > 0 for r in out) > 3 < sum(r["distrust"] > 0 for r in out)
+    check_query(spark, edges, {h for _, h in rows}, out, {min(rows)[1]}, {max(rows)[1]}, 2e-7)
