@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexigrove.llm.common import text_slices
+from lexigrove.llm.common import released, text_slices
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The split of the vocabularies that come as ranks.
@@ -180,11 +180,11 @@ def encode(df: DataFrame, path: str | None = None, key: str = "doc_id", text: st
     parts = (
         rows.where(is_long)
         .withColumn("text_hash", F.sha2("text", 256))
-        .mapInArrow(split, f"`{key}` {kind}, text_hash string, leaf bigint, text string")
+        .mapInArrow(released(split), f"`{key}` {kind}, text_hash string, leaf bigint, text string")
         .repartition(F.xxhash64("text_hash", "leaf"))
-        .mapInArrow(leaves, f"`{key}` {kind}, text_hash string, leaf bigint, text string, tokens array<int>")
+        .mapInArrow(released(leaves), f"`{key}` {kind}, text_hash string, leaf bigint, text string, tokens array<int>")
     )
-    return rows.where(~is_long).mapInArrow(short, schema).unionByName(parts.groupBy(key, "text_hash").applyInArrow(concatenate, schema))
+    return rows.where(~is_long).mapInArrow(released(short), schema).unionByName(parts.groupBy(key, "text_hash").applyInArrow(concatenate, schema))
 
 
 def decode(df: DataFrame, path: str | None = None, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
@@ -199,4 +199,4 @@ def decode(df: DataFrame, path: str | None = None, key: str = "doc_id", tokens:
             texts = [None if not x.is_valid else bytes(c.decode(x.values.to_numpy(zero_copy_only=False))).decode("utf-8", "replace") for x in lists]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [key, "text"])
 
-    return df.select(F.col(f"`{key}`"), F.col(f"`{tokens}`").cast("array<int>")).mapInArrow(run, f"`{key}` {kind}, text string")
+    return df.select(F.col(f"`{key}`"), F.col(f"`{tokens}`").cast("array<int>")).mapInArrow(released(run), f"`{key}` {kind}, text string")

@@ -7,9 +7,12 @@ and memory stays a small multiple of ``CHUNK`` whatever the length of a text.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -195,6 +198,21 @@ def winnow(h: np.ndarray, first: np.ndarray, k: int, w: int) -> tuple[np.ndarray
     return at, grams[at]
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of a task, which at its end gives freed memory back to the system: a worker waits for its next task with what it has."""
+
+    @functools.wraps(run)
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # there is none but in glibc
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return own
+
+
 def expand(lengths: np.ndarray) -> np.ndarray:
     """0 .. length - 1 for each length, one after another."""
     total = int(lengths.sum())

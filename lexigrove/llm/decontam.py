@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from lexigrove.llm.common import Shared, Windows, expand, known, text_slices, tokens, type_of
+from lexigrove.llm.common import Shared, Windows, expand, known, released, text_slices, tokens, type_of
 
 #: Words in a row that make a document a copy of a test; an item of fewer words must be there as a whole.
 MIN_WORDS = 13
@@ -266,7 +266,7 @@ def _searched(rows: DataFrame, tests: Broadcast, ids: pa.Array, schema: str) ->
                 named = [batch.column(i).take(pa.array(a + row)) for i in (0, 2)]
                 yield pa.RecordBatch.from_arrays([*named, ids.take(pa.array(item)), *(pa.array(x.astype(np.int32)) for x in rest)], ["doc_id", "text_hash", "item_id", "n_words", "doc_word", "item_word"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
 
 
 def _candidates(rows: DataFrame, items: DataFrame, min_words: int) -> DataFrame:
@@ -285,7 +285,7 @@ def _candidates(rows: DataFrame, items: DataFrame, min_words: int) -> DataFrame:
                     if len(grams):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), k, np.int32)), pa.array((grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64) + 1)], ["k", "slot"])
 
-    found = items.mapInArrow(runs, "k int, slot bigint")
+    found = items.mapInArrow(released(runs), "k int, slot bigint")
     marked = found.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
     lengths = sorted(r["k"] for r in found.select("k").distinct().collect())
     table = np.zeros(1 << FILTER_BITS, bool)
@@ -307,7 +307,7 @@ def _candidates(rows: DataFrame, items: DataFrame, min_words: int) -> DataFrame:
                     keep[a + np.searchsorted(first, hit, "right") - 1] = True
             yield batch.filter(pa.array(keep))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(released(run), rows.schema)
 
 
 def _found(rows: DataFrame, benchmark: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
@@ -368,4 +368,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                 keep[a + built.find(buf, offsets)[0]] = False
             yield batch if keep.all() else batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

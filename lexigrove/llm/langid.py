@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexigrove.llm.common import text_slices
+from lexigrove.llm.common import released, text_slices
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -122,7 +122,7 @@ def prototypes(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: s
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.astype(np.float64).tolist() for v in sums.values()], pa.list_(pa.float64()))], ["lang", "v"])
 
     out: dict[str, np.ndarray] = {}
-    partial = texts.select("lang", "text").mapInArrow(run, "lang string, v array<double>")
+    partial = texts.select("lang", "text").mapInArrow(released(run), "lang string, v array<double>")
     summed = partial.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
     for row in summed.orderBy("lang").collect():
         v = np.array([x["x"] for x in row["v"]])
@@ -159,4 +159,4 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], key: str = "doc_i
                     margin[i] = float(c[j] - max((c[k] for k in range(len(names)) if k != j), default=0.0))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(best, pa.string()), pa.array(cosine, pa.float64()), pa.array(margin, pa.float64())], [key, "language", "cosine", "margin"])
 
-    return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"`{key}` {kind}, language string, cosine double, margin double")
+    return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("text")).mapInArrow(released(run), f"`{key}` {kind}, language string, cosine double, margin double")

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lexigrove.llm.common import NEWLINE, Shared, Windows, fresh, known, same_document, text_slices, tokens, type_of, winnow
+from lexigrove.llm.common import NEWLINE, Shared, Windows, fresh, known, released, same_document, text_slices, tokens, type_of, winnow
 
 #: Lines that a fingerprint covers, and successive fingerprints of which one is selected: every run of MIN_LINES is found.
 GRAM, WINDOW = 2, 2
@@ -35,7 +35,7 @@ def fingerprints(rows: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
                 named = [batch.column(i).take(pa.array(a + row)) for i in (0, 2)]
                 yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), *named, lists], ["fingerprint", "doc_id", "text_hash", "runs"])
 
-    return rows.mapInArrow(run, f"fingerprint bigint, doc_id {type_of(rows)}, text_hash bigint, runs array<struct<run: bigint, line: int>>")
+    return rows.mapInArrow(released(run), f"fingerprint bigint, doc_id {type_of(rows)}, text_hash bigint, runs array<struct<run: bigint, line: int>>")
 
 
 def later_runs(rows: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:

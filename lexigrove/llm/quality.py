@@ -14,13 +14,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexigrove.llm.common import FOLD, NOT_ALNUM, fresh, mix, text_slices, tokens
+from lexigrove.llm.common import FOLD, NOT_ALNUM, fresh, mix, released, text_slices, tokens
 
 #: Buckets of the word features and of the character features.
 WORD_BITS, CHAR_BITS = 40, 18
 #: Word features are kept that as many of the sampled texts have, and that occur in the two classes of some target at rates which lie so many standard errors apart.
 LEAST_TEXTS, LEAST_ERRORS = 4, 5.0
 CHARACTERS = 4
+#: Parts, a power of two, in which word features are counted.
+PARTS = 16
 #: Labelled texts that the model is fitted and calibrated on, at most; the first in the order of a hash of their ids.
 SAMPLE_ROWS = 8_000
 #: One in so many of these is kept for calibration.
@@ -97,18 +99,11 @@ def fit(texts: list[str], labels: dict[str, np.ndarray], held_out: np.ndarray, e
     fitted = np.flatnonzero(~held_out)
     slices = [list(_slices([texts[i] for i in part])) for part in (fitted, np.flatnonzero(held_out))]
     each = [(word_features(buf, offsets), a) for a, _, buf, offsets in slices[0]]
-    ids, inverse, with_it = np.unique(np.concatenate([x[0][1] for x in each] or [np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
-    rows = np.concatenate([x[0][0] + x[1] for x in each] or [np.zeros(0, np.int64)])
-    telling = np.zeros(len(ids), bool)
-    for y in labels.values():
-        own = y[fitted]
-        ones, n = own.sum(), len(own)
-        if 0 < ones < n:
-            hits = np.bincount(inverse, weights=own[rows], minlength=len(ids))
-            rate = with_it / n
-            error = np.sqrt(rate * (1 - rate) * (1 / ones + 1 / (n - ones)))
-            telling |= np.abs(hits / ones - (with_it - hits) / (n - ones)) > LEAST_ERRORS * error
-    chosen = ids[telling & (with_it >= LEAST_TEXTS)]
+    ids = np.concatenate([x[0][1] for x in each] or [np.zeros(0, np.uint64)])
+    rows = np.concatenate([(x[0][0] + x[1]).astype(np.int32) for x in each] or [np.zeros(0, np.int32)])
+    del each
+    chosen = np.concatenate([_telling(ids, rows, np.uint64(part), labels, fitted) for part in range(PARTS)])
+    del ids, rows
     parts = [[(Features(buf, offsets, chosen), part[a:b]) for a, b, buf, offsets in own] for own, part in zip(slices, (fitted, np.flatnonzero(held_out)))]
     size = {"words": len(chosen), "chars": 1 << CHAR_BITS}
     model: dict = {"chosen": chosen, "targets": {}}
@@ -138,6 +133,22 @@ def fit(texts: list[str], labels: dict[str, np.ndarray], held_out: np.ndarray, e
     return model
 
 
+def _telling(ids: np.ndarray, rows: np.ndarray, part: np.uint64, labels: dict[str, np.ndarray], fitted: np.ndarray) -> np.ndarray:
+    """The chosen word features among those with the given first bits, in order; a part of the features at a time keeps the arrays small."""
+    own = np.flatnonzero(ids >> np.uint64(WORD_BITS - PARTS.bit_length() + 1) == part)
+    found, inverse, with_it = np.unique(ids[own], return_inverse=True, return_counts=True)
+    telling = np.zeros(len(found), bool)
+    for y in labels.values():
+        y = y[fitted]
+        ones, n = y.sum(), len(y)
+        if 0 < ones < n:
+            hits = np.bincount(inverse, weights=y[rows[own]], minlength=len(found))
+            rate = with_it / n
+            error = np.sqrt(rate * (1 - rate) * (1 / ones + 1 / (n - ones)))
+            telling |= np.abs(hits / ones - (with_it - hits) / (n - ones)) > LEAST_ERRORS * error
+    return found[telling & (with_it >= LEAST_TEXTS)]
+
+
 def _slices(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     column = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])
     for s in range(0, len(texts), STEP_ROWS):
@@ -173,18 +184,19 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     joined = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), *(F.first(t).alias(t) for t in targets)).withColumn("mixed", F.xxhash64("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in batch.to_pylist()]
-        if not rows:
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
             return
-        rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-        ids = np.array([r["mixed"] for r in rows]).astype(np.uint64)
-        y = {t: np.array([float(r[t] > 0) for r in rows]) for t in targets}
+        rows = pa.Table.from_batches(held).sort_by("doc_id")
+        del held
+        ids = rows["mixed"].to_numpy().astype(np.uint64)
+        y = {t: (rows[t].to_numpy() > 0).astype(np.float64) for t in targets}
         mixed = {t: v for t, v in y.items() if 0 < v.mean() < 1}
-        model = fit([r["text"] for r in rows], mixed, mix(ids) % np.uint64(HELD_OUT) == 0) if mixed else {"chosen": np.zeros(0, np.uint64), "targets": {}}
+        model = fit(rows["text"].to_pylist(), mixed, mix(ids) % np.uint64(HELD_OUT) == 0) if mixed else {"chosen": np.zeros(0, np.uint64), "targets": {}}
         model["targets"] |= {t: {"share": float(v.mean())} for t, v in y.items() if t not in mixed}
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
-    found = joined.repartition(1).mapInArrow(run, "model binary").collect()
+    found = joined.repartition(1).mapInArrow(released(run), "model binary").collect()
     return bytes(found[0]["model"]) if found else pickle.dumps({"chosen": np.zeros(0, np.uint64), "targets": {t: {"share": None} for t in targets}})
 
 
@@ -223,7 +235,7 @@ def score(docs: DataFrame, model: bytes, text: str = "text", targets: tuple[str,
                     columns.append(pa.array(p, mask=null[a:b] | np.isnan(p)))
                 yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def keep(docs: DataFrame, model: bytes, text: str = "text", min_quality: float = MIN_QUALITY, max_toxic: float = MAX_TOXIC) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexigrove.llm.common import FOLD, NOT_ALNUM, Shared, expand, known, mix, same_document, text_slices, tokens, type_of
+from lexigrove.llm.common import FOLD, NOT_ALNUM, Shared, expand, known, mix, released, same_document, text_slices, tokens, type_of
 from lexigrove.llm.spans import grouped
 
 RADIUS = 20
@@ -59,7 +59,7 @@ def fingerprints(rows: DataFrame) -> DataFrame:
                 named = [batch.column(i).take(pa.array(a + own)) for i in (0, 2)]
                 yield pa.RecordBatch.from_arrays([*named, pa.array(hi[own].view(np.int64)), pa.array(lo[own].view(np.int64))], ["doc_id", "text_hash", "hi", "lo"])
 
-    return rows.mapInArrow(run, f"doc_id {type_of(rows)}, text_hash bigint, hi bigint, lo bigint")
+    return rows.mapInArrow(released(run), f"doc_id {type_of(rows)}, text_hash bigint, hi bigint, lo bigint")
 
 
 def distance(ah: np.ndarray, al: np.ndarray, bh: np.ndarray, bl: np.ndarray) -> np.ndarray:
@@ -168,8 +168,8 @@ def near_edges(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
             own = other != node
             yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(other[own])], ["node", "other"])
 
-    sharded = nodes.select("node", "hi", "lo").mapInArrow(keys, "shard bigint, node bigint, hi bigint, lo bigint")
-    return sharded.repartition("shard").sortWithinPartitions("shard").mapInArrow(trees, "node bigint, other bigint").distinct()
+    sharded = nodes.select("node", "hi", "lo").mapInArrow(released(keys), "shard bigint, node bigint, hi bigint, lo bigint")
+    return sharded.repartition("shard").sortWithinPartitions("shard").mapInArrow(released(trees), "node bigint, other bigint").distinct()
 
 
 def components(edges: DataFrame, shared: Shared) -> DataFrame:
