@@ -12,21 +12,21 @@ from lexigrove import schema as S
 from lexigrove.config import IndexConfig
 from lexigrove.errors import InvalidConfiguration, InvalidDocument, InvalidSearchParameters, PrimaryKeyNotFound
 from lexigrove.functions import geo
-from lexigrove.functions.language import detect_column
+from lexigrove.functions.language import detect, detect_attributes
 from lexigrove.functions.stem import STEMMERS
 from lexigrove.operators import facets, formatting, matching, paging, postings, ranking
 from lexigrove.params import BrowseParams, SearchParams
 from lexigrove.plans.filters import compile_filter, parse, radii
-from lexigrove.plans.query import Query, matched_words, parse_query
+from lexigrove.plans.query import Query, matched_words, parse_query, with_stems
 from lexigrove.plans.sorting import order_columns, parse_sort
 from lexigrove.sources.store import Store
 
-ENGINE_VERSION = "1"
+ENGINE_VERSION = "2"
 
 
 @dataclass
 class Result:
-    """Hits of one page with what belongs to them. ``frame`` is the page and ``matches`` all documents that match, both lazy."""
+    """Hits of one page with what belongs to them. ``frame`` has the page's ids and scores, and ``matches``, which is lazy, all documents that match."""
 
     hits: list[dict]
     query: str
@@ -83,8 +83,9 @@ class SearchIndex:
     def add(self, documents: list[dict] | DataFrame) -> None:
         """Adds documents, or replaces those with the same key; those that are as they were are skipped.
 
-        Lists are checked value by value, DataFrames by their types. Of rows with one key the last of a list and one of a
-        DataFrame counts. Attributes that are new are null in older documents.
+        Lists are checked value by value, DataFrames by their types. Of rows with one key the last of a list counts, and of a
+        DataFrame the one whose contents have the greatest hash. Attributes that are new are null in older documents. An index
+        that was made with other settings is rebuilt first.
         """
         if isinstance(documents, list):
             if not documents:
@@ -98,10 +99,11 @@ class SearchIndex:
             kinds = {f.name: S.type_of_field(f.dataType) for f in documents.schema.fields}
             self.schema = S.merge(self.schema, kinds, self.config)
             frame = documents
+            if not frame.where(F.col(f"`{self.config.primary_key}`").isNull()).isEmpty():
+                raise InvalidDocument(f"A document has no {self.config.primary_key!r}.")
             for f in documents.schema.fields:
                 if S.type_of_field(f.dataType) == S.NUMBER and f.name != self.config.primary_key:
                     frame = frame.withColumn(f.name, F.col(f"`{f.name}`").cast("double"))
-            frame = frame.dropDuplicates([self.config.primary_key])
         self._upsert(frame)
 
     def _frame(self, documents: list[dict]) -> DataFrame:
@@ -145,19 +147,27 @@ class SearchIndex:
         key = self.config.primary_key
         frame = self._displayed(frame)
         content = F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(frame.columns)))))
-        new = frame.withColumn("__key", F.col(f"`{key}`").cast("string")).withColumn("__hash", content)
-        old, base = self.documents, 0
-        if old is not None:
-            base = (old.agg(F.max("doc_id")).first()[0] or 0) + 1
-            new = new.join(old.select("__key", F.col("__hash").alias("__old")), "__key", "left").where("__old is null or __old <> __hash").drop("__old")
-        new = new.withColumn("doc_id", F.lit(base) + F.monotonically_increasing_id())
-        new = self.store.stage(new)  # ids are fixed from here on
-        docs, rows, gone = new, self._postings(new), None
-        if old is not None:
-            gone = old.join(new.select("__key"), "__key", "left_semi").select("doc_id")
-            docs = old.join(new.select("__key"), "__key", "left_anti").unionByName(new, allowMissingColumns=True)
-            rows = self.store.read("postings").join(gone, "doc_id", "left_anti").unionByName(rows)
-        self._commit(docs, rows)
+        new = frame.withColumns({"__key": F.col(f"`{key}`").cast("string"), "__hash": content, "__order": F.monotonically_increasing_id()})
+        new = new.groupBy("__key").agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in new.columns)), "__hash").alias("row")).select("row.*")
+        with self.store.writing():
+            if self.needs_reindex():
+                self.reindex()
+            manifest = self.store.manifest()
+            old = self.documents
+            if old is None:
+                new = new.withColumn("__replaced", F.lit(None).cast("bigint"))
+            else:
+                known = old.select("__key", F.col("__hash").alias("__old"), F.col("doc_id").alias("__replaced"))
+                new = new.join(known, "__key", "left").where("__old is null or __old <> __hash").drop("__old")
+            documents = self.store.write(new.withColumn("doc_id", F.lit(manifest.get("next", 0)) + F.col("__order")).drop("__order"))
+            written = self.store.open([documents])  # ids are fixed from here on
+            last, replaced = written.agg(F.max("doc_id"), F.count("__replaced")).first()
+            if last is None and manifest:
+                self.store._delete(documents["name"])
+                return
+            segment = self.store.segment(documents, self._postings(written), postings.vocabulary)
+            gone = [self.store.write(written.where("__replaced is not null").select(F.col("__replaced").alias("doc_id"))) | {"rows": replaced}] if replaced else []
+            self._commit([*manifest.get("segments", []), segment], [*manifest.get("gone", []), *gone], (last + 1) if last is not None else 0, segment)
 
     def _postings(self, docs: DataFrame) -> DataFrame:
         have = {f.name: S.type_of_field(f.dataType) for f in docs.schema.fields if not f.name.startswith("__") and f.name != "doc_id"}
@@ -173,29 +183,57 @@ class SearchIndex:
         if len(self.config.languages) == 1:
             languages = docs.select("doc_id", F.lit(self.config.languages[0]).alias("language"))
         elif attributes:
-            text = F.concat_ws(" ", *(postings.text_of(n, k) for n, k in attributes))
-            languages = docs.select("doc_id", detect_column(text, self.config.languages).alias("language")).where("language is not null")
+            each = detect_attributes([F.coalesce(postings.text_of(n, k), F.lit("")) for n, k in attributes], self.config.languages)
+            languages = docs.select("doc_id", F.posexplode(each).alias("attribute", "language")).where("language is not null")
         split = any(lang in ("de", "en") for lang in self.config.languages)
         return postings.with_variants(base, languages, split)
 
-    def _commit(self, docs: DataFrame, rows: DataFrame) -> None:
-        self.store.commit({"documents": docs, "postings": rows}, {"vocabulary": lambda read: postings.vocabulary(read("postings"))}, self._manifest())
-
-    def _manifest(self) -> dict:
-        return {"engine": ENGINE_VERSION, "config": self.config.hash(), "schema": self.schema, "uid": self.store.manifest().get("uid") or uuid.uuid4().hex}
+    def _commit(self, segments: list[dict], gone: list[dict], following: int, like: dict | None = None, everything: bool = False) -> None:
+        before = self.store.manifest()
+        empty = {t: like[t]["schema"] for t in ("documents", "postings", "vocabulary")} if like else before.get("empty")
+        manifest = {"engine": ENGINE_VERSION, "config": self.config.hash(), "schema": self.schema, "uid": before.get("uid") or uuid.uuid4().hex, "empty": empty, "next": following, "segments": segments, "gone": gone}
+        self.store.commit(self.store.merged(manifest, postings.vocabulary, everything))
 
     def delete(self, keys: list) -> None:
-        """Deletes the documents with these keys; what only they had is gone from postings and vocabulary too."""
-        old = self.documents
-        if old is None or not keys:
-            return
-        gone = self.spark.createDataFrame([(str(k),) for k in set(keys)], "__key string")
-        docs = old.join(gone, "__key", "left_anti")
-        self._commit(docs, self.store.read("postings").join(docs.select("doc_id"), "doc_id", "left_semi"))
+        """Deletes the documents with these keys; what only they had is gone from postings and vocabulary too. The keys come from the caller; a list of ids is written, no documents."""
+        with self.store.writing():
+            old = self.documents
+            if old is None or not keys:
+                return
+            wanted = self.spark.createDataFrame([(str(k),) for k in set(keys)], "__key string")
+            self._delete(old.join(F.broadcast(wanted) if len(keys) <= 100_000 else wanted, "__key", "left_semi").select("doc_id"))
+
+    def delete_where(self, condition: str) -> None:
+        """Deletes the documents that a filter matches."""
+        with self.store.writing():
+            if self.documents is not None:
+                tree = parse(condition, self.config.filterable)
+                self._delete(self.documents.where(compile_filter(tree, self.schema, self.config.primary_key)).select("doc_id"))
+
+    def _delete(self, ids: DataFrame) -> None:
+        manifest, gone = self.store.manifest(), self.store.write(ids)
+        rows = self.store.open([gone]).count()
+        if rows:
+            self._commit(manifest["segments"], [*manifest["gone"], gone | {"rows": rows}], manifest["next"])
+        else:
+            self.store._delete(gone["name"])
 
     def delete_all(self) -> None:
-        if self.documents is not None:
-            self._commit(self.documents.limit(0), self.store.read("postings").limit(0))
+        with self.store.writing():
+            if self.documents is not None:
+                self._commit([], [], self.store.manifest()["next"])
+
+    def compact(self) -> None:
+        """Rewrites the index as one segment without replaced documents, of files as large as the session's settings make them."""
+        with self.store.writing():
+            m = self.store.manifest()
+            if m:
+                self._commit(m["segments"], m["gone"], m["next"], everything=True)
+
+    def statistics(self) -> dict:
+        """Documents, replaced documents that are still there, segments and bytes."""
+        m = self.store.manifest()
+        return {"documents": self.count(), "replaced": sum(g["rows"] for g in m.get("gone", ())), "segments": len(m.get("segments", ())), "bytes": self.size()}
 
     def get(self, key) -> dict | None:
         docs = self.documents
@@ -218,8 +256,12 @@ class SearchIndex:
 
     def reindex(self) -> None:
         """Rebuilds everything from the stored documents."""
-        if self.documents is not None:
-            self._commit(self.documents, self._postings(self.documents))
+        with self.store.writing():
+            m, docs = self.store.manifest(), self.documents
+            if docs is not None:
+                documents = self.store.write(docs)
+                segment = self.store.segment(documents, self._postings(self.store.open([documents])), postings.vocabulary)
+                self._commit([segment] if segment["count"] else [], [], m["next"], segment)
 
     def _document(self, row: T.Row, only: tuple[str, ...] = ("*",)) -> dict:
         d = row.asDict()
@@ -237,20 +279,33 @@ class SearchIndex:
     def search(self, params: SearchParams | None = None) -> Result:
         return self._run(params or SearchParams())
 
-    def matching(self, params: BrowseParams, query: Query) -> DataFrame:
+    def matching(self, params: BrowseParams, query: Query, count_typos: bool = True) -> DataFrame:
         """All documents that pass the filter and match the query, with the columns ranking needs."""
         docs = self.documents
         tree = parse(params.filter, self.config.filterable)
         kept = docs.where(compile_filter(tree, self.schema, self.config.primary_key))
+        if not query.tokens:
+            return kept
         places = None
         if "*" not in params.search_on:
             places = [i for i, (a, _) in enumerate(self._searchable()) if a in params.search_on]
         how = params.matching_strategy if isinstance(params, SearchParams) else "any"
-        return matching.matching_documents(kept, self.store.read("postings"), self.store.read("vocabulary"), query, self.config, how, places)
+        m = self.store.manifest()
+        if not m["segments"]:
+            return matching.matching_documents(kept, self.store.read("postings"), self.store.read("terms"), query, self.config, how, places)
+        return matching.matching_documents(kept, self.store.postings_of(m), self.store.read("terms"), query, self.config, how, places, count_typos)
+
+    def _query(self, text: str) -> Query:
+        """The parsed query; its words outside of phrases also stand for their stems in its language: the index's only one, else the one that is detected."""
+        query = parse_query(text, self.config)
+        if not self.config.typo.enabled or not query.tokens:
+            return query
+        language = self.config.languages[0] if len(self.config.languages) == 1 else detect(query.text, self.config.languages, reliable=False)
+        return with_stems(query, language)
 
     def _run(self, params: BrowseParams) -> Result:
         searching = isinstance(params, SearchParams)
-        query = parse_query(params.query, self.config)
+        query = self._query(params.query)
         tree = parse(params.filter, self.config.filterable)
         keys = parse_sort(params.sort, self.config) if searching else []
         limit, offset = params.window()
@@ -260,38 +315,44 @@ class SearchIndex:
             offset = min(offset, max(cap - limit, 0))
         if self.documents is None or self.needs_reindex():
             return Result([], query.analysed, limit, 1, 0, 0)
-        matches = self.matching(params, query)
         ranked = searching and bool(query.tokens) and any(k.kind == "relevance" for k in keys)
+        matches = self.matching(params, query, ranked and "typo" in self.config.ranking_rules)
         score = F.round(ranking.score(query, self.config), 12) if ranked else F.lit(0.0)
-        rows = matches.withColumn("__score", score)
-        order = order_columns(keys, self.schema, self.config, tree, F.col("__score") if ranked else None)
-        if ranked and params.score_threshold > 0:
-            rows = rows.where(F.col("__score") >= params.score_threshold)
-        if searching and params.distinct is not None:
-            if params.distinct not in self.config.filterable or self.schema.get(params.distinct, S.STRING) in (*S.MULTI, S.GEO):
-                raise InvalidSearchParameters(f"{params.distinct!r} must be a filterable attribute with single values.")
-            if params.distinct in self.schema:
-                rows = paging.distinct_best(rows, params.distinct, order)
-        for r in radii(tree):
-            rows = self._with_distance(rows, r.attribute, r.lat, r.lng)
-        for k in keys:
-            if k.kind == "geo":
-                rows = self._with_distance(rows, k.attribute, *k.point)
-        total = rows.count()
-        total = min(total, cap) if searching else total
-        page = paging.page(rows, order, limit, offset)
-        hits = [self._hit(row, params, query) for row in page.collect()]
-        number, pages = paging.page_numbers(total, limit, offset)
-        out = Result(hits, query.analysed, limit, number, pages, total, frame=page, matches=matches)
-        if searching and params.facets:
+        wanted = {}
+        if searching:
             wanted = {a: self.schema[a] for a in params.facets if a in self.config.filterable and a in self.schema}
             if any(kind == S.GEO for kind in wanted.values()):
                 raise InvalidSearchParameters("A location cannot be a facet.")
-            for r in facets.distribution(matches, wanted, params.max_values_per_facet).collect():
-                out.facet_distribution.setdefault(r["attribute"], {})[r["value"]] = r["count"]
-            out.facet_distribution |= {a: out.facet_distribution.get(a, {}) for a in wanted}
-            out.facet_stats = {r["attribute"]: {"min": r["min"], "max": r["max"]} for r in facets.stats(matches, wanted).collect()}
-        return out
+            if params.distinct is not None and (params.distinct not in self.config.filterable or self.schema.get(params.distinct, S.STRING) in (*S.MULTI, S.GEO)):
+                raise InvalidSearchParameters(f"{params.distinct!r} must be a filterable attribute with single values.")
+        # what order, distances, distinct and facets need of the documents; the rest is read for the page alone
+        narrow = [c for c in dict.fromkeys(["doc_id", *self.config.filterable, *self.config.sortable, self.config.primary_key]) if c in self.documents.columns]
+        found = matches.select(*(F.col(f"`{c}`") for c in narrow), score.alias("__score")).persist()
+        try:
+            rows = found.where(F.col("__score") >= params.score_threshold) if ranked and params.score_threshold > 0 else found
+            order = order_columns(keys, self.schema, self.config, tree, F.col("__score") if ranked else None)
+            if searching and params.distinct in self.schema:
+                rows = paging.distinct_best(rows, params.distinct, order)
+            for r in radii(tree):
+                rows = self._with_distance(rows, r.attribute, r.lat, r.lng)
+            for k in keys:
+                if k.kind == "geo":
+                    rows = self._with_distance(rows, k.attribute, *k.point)
+            total = rows.count()
+            total = min(total, cap) if searching else total
+            page = paging.page(rows, order, limit, offset).select("doc_id", "__score", *(c for c in rows.columns if c.startswith("__distance_"))).collect() if total else []
+            whole = {r["doc_id"]: r for r in self.documents.where(F.col("doc_id").isin([r["doc_id"] for r in page])).collect()} if page else {}
+            hits = [self._hit(whole[r["doc_id"]], r.asDict(), params, query) for r in page]
+            number, pages = paging.page_numbers(total, limit, offset)
+            out = Result(hits, query.analysed, limit, number, pages, total, frame=self.spark.createDataFrame([(r["doc_id"], r["__score"]) for r in page], "doc_id bigint, score double"), matches=matches)
+            if wanted:
+                for r in facets.distribution(found, wanted, params.max_values_per_facet).collect():
+                    out.facet_distribution.setdefault(r["attribute"], {})[r["value"]] = r["count"]
+                out.facet_distribution |= {a: out.facet_distribution.get(a, {}) for a in wanted}
+                out.facet_stats = {r["attribute"]: {"min": r["min"], "max": r["max"]} for r in facets.stats(found, wanted).collect()}
+            return out
+        finally:
+            found.unpersist()
 
     def _with_distance(self, rows: DataFrame, attribute: str, lat: float, lng: float) -> DataFrame:
         name = f"__distance_{attribute}"
@@ -299,19 +360,16 @@ class SearchIndex:
             return rows
         return rows.withColumn(name, F.round(geo.distance(F.col(f"`{attribute}`.lat"), F.col(f"`{attribute}`.lng"), lat, lng)).cast("bigint"))
 
-    def _hit(self, row: T.Row, params: BrowseParams, query: Query) -> dict:
-        internal = {c for t in query.tokens for c in (f"k{t.index}", f"t{t.index}", f"e{t.index}")} | ({"matched"} if query.tokens else set())
-        d = row.asDict()
-        names = [f.name for f in self.documents.schema.fields]
-        whole = self._document(T.Row(**{k: v for k, v in d.items() if k in names and (k not in internal or k in self.schema)}))
+    def _hit(self, row: T.Row, found: dict, params: BrowseParams, query: Query) -> dict:
+        whole = self._document(row)
         hit = {k: v for k, v in whole.items() if "*" in params.retrieve or k in params.retrieve}
-        for k, v in d.items():
+        for k, v in found.items():
             if k.startswith("__distance_") and v is not None and ("*" in params.retrieve or f"_geoDistance({k[11:]})" in params.retrieve):
                 hit[f"_geoDistance({k[11:]})"] = v
         if not isinstance(params, SearchParams):
             return hit
         if params.show_score:
-            hit["_rankingScore"] = round(d["__score"] or 0.0, 5)
+            hit["_rankingScore"] = round(found["__score"] or 0.0, 5)
         if params.highlight or params.crop or params.show_positions:
             self._format(hit, whole, params, query)
         return hit

@@ -31,3 +31,7 @@ class FilterFormatError(SearchError):
 
 class InvalidJson(SearchError):
     pass
+
+
+class IndexLocked(SearchError):
+    pass

@@ -16,51 +16,87 @@ from lexigrove.operators.postings import ATTRIBUTE_STEP
 from lexigrove.plans.query import Query, Token, accepts
 
 
+#: Matching terms up to this number are looked at and joined as a list of the driver; more stay a table.
+MOST_TERMS = 20_000
+#: Values of an IN that a Parquet scan compares one by one with a row group's statistics.
+IN_VALUES = 10
+
+
 def _possible(token: Token, config: IndexConfig) -> Column:
-    """What a matching term must look like, without counting typos."""
-    out = F.col("term") == token.term
+    """What a matching term must look like: no matching term is left out, and few others get through.
+
+    A swap of neighbours is two plain edits, so plain edits up to twice the allowed typos bound the distance.
+    """
+    out = F.col("term").isin([token.term, *token.stems])
     if token.phrase is not None:
         return out
-    if config.typo.allowed(token.term):
-        n = len(token.term)
-        out = out | F.col("length").between(n - 1, n + 1)
-    if token.last and len(token.term) >= config.min_prefix_length:
+    k, n, term = config.typo.allowed(token.term), len(token.term), F.lit(token.term)
+    if k:
+        out = out | (F.col("length").between(n - 1, n + 1) & (F.levenshtein("term", term, 2 * k) >= 0))
+    if token.last and n >= config.min_prefix_length:
         out = out | F.col("term").startswith(token.term)
-        if config.typo.for_prefixes and config.typo.allowed(token.term):
-            out = out | (F.col("length") > len(token.term))
+        if config.typo.for_prefixes and k:
+            for m in range(max(config.min_prefix_length, n - 1), min(n + 1, config.typo.index_length) + 1):
+                out = out | ((F.col("length") > max(n, m)) & (F.levenshtein(F.substring("term", 1, m), term, 2 * k) >= 0))
     return out
 
 
-def term_matches(vocab: DataFrame, tokens: Iterable[Token], config: IndexConfig) -> DataFrame:
+def _candidates(vocab: DataFrame, tokens: tuple[Token, ...], config: IndexConfig) -> DataFrame:
+    wanted = F.lit(False)
+    for t in tokens:
+        wanted = wanted | _possible(t, config)
+    return vocab.where(wanted)
+
+
+def _accepted(tokens: tuple[Token, ...], term: str, config: IndexConfig, count: bool) -> list[tuple[int, int, bool]]:
+    hits = ((t, accepts(t, term, config, count)) for t in tokens)
+    return [(t.index, *h) for t, h in hits if h is not None]
+
+
+MATCHES = "token int, term string, typos int, same boolean"
+
+
+def term_matches(vocab: DataFrame, tokens: Iterable[Token], config: IndexConfig, count_typos: bool = True) -> DataFrame:
     """(token, term, typos, same): the terms of (term, length) that match each token, in one scan.
 
-    Plain comparisons of length and beginning leave few terms for the distance, which runs in one pandas UDF for all tokens.
+    Plain edits, lengths and beginnings, compared in the JVM, leave few terms for the distance, which runs in one pandas UDF
+    for all tokens.
     """
     tokens = tuple(tokens)
-    schema = "token int, term string, typos int, same boolean"
     if not tokens:
-        return vocab.sparkSession.createDataFrame([], schema)
-    wanted = F.lit(False)
-    for t in tokens:
-        wanted = wanted | _possible(t, config)
+        return vocab.sparkSession.createDataFrame([], MATCHES)
 
     @F.pandas_udf("array<struct<token: int, typos: int, same: boolean>>")
     def check(terms: pd.Series) -> pd.Series:
-        def one(term: str) -> list[dict]:
-            hits = ((t, accepts(t, term, config)) for t in tokens)
-            return [{"token": t.index, "typos": h[0], "same": h[1]} for t, h in hits if h is not None]
-
-        return terms.map(one)
+        return terms.map(lambda term: [dict(zip(("token", "typos", "same"), h)) for h in _accepted(tokens, term, config, count_typos)])
 
-    exact_only = all(t.phrase is not None or not config.typo.allowed(t.term) and not (t.last and len(t.term) >= config.min_prefix_length) for t in tokens)
+    exact_only = all(t.phrase is not None or not t.stems and not config.typo.allowed(t.term) and not (t.last and len(t.term) >= config.min_prefix_length) for t in tokens)
     if exact_only:  # no distance to compute: stay in the JVM
         each = F.filter(F.array(*(F.struct(F.lit(t.index).alias("token"), F.lit(0).alias("typos"), (F.col("term") == t.term).alias("same")) for t in tokens)), lambda x: x["same"])
     else:
         each = check(F.col("term"))
-    found = vocab.where(wanted).select("term", F.inline(each))
+    found = _candidates(vocab, tokens, config).select("term", F.inline(each))
     return found.groupBy("token", "term").agg(F.min("typos").alias("typos"), F.max("same").alias("same"))
 
 
+def known_matches(vocab: DataFrame, tokens: Iterable[Token], config: IndexConfig, count_typos: bool = True) -> tuple[DataFrame, list[str] | None]:
+    """``term_matches``, and the terms if there are at most MOST_TERMS: these go to the driver, and the postings' scan can skip what has none of them."""
+    tokens = tuple(tokens)
+    found = [r["term"] for r in _candidates(vocab, tokens, config).select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    if len(found) > MOST_TERMS:
+        return term_matches(vocab, tokens, config, count_typos), None
+    rows = [(i, term, typos, same) for term in found for i, typos, same in _accepted(tokens, term, config, count_typos)]
+    return F.broadcast(vocab.sparkSession.createDataFrame(rows, MATCHES)), sorted({r[1] for r in rows})
+
+
+def having_terms(postings: DataFrame, terms: list[str]) -> DataFrame:
+    """The postings of the terms, by filters that reach the scan in groups small enough to be compared with a row group's statistics."""
+    wanted = F.lit(False)
+    for i in range(0, len(terms), IN_VALUES) if len(terms) <= 20 * IN_VALUES else ():
+        wanted = wanted | F.col("term").isin(terms[i : i + IN_VALUES])
+    return postings.where(wanted if len(terms) <= 20 * IN_VALUES else F.col("term").isin(terms))
+
+
 def hits(postings: DataFrame, matches: DataFrame, tokens: Iterable[Token], attributes: Iterable[int] | None = None) -> DataFrame:
     """(doc_id, token, key, typos, exact) of the postings of matching terms; only in the attributes with the given places, if any are."""
     rows = postings if attributes is None else postings.where(F.col("attribute").isin(list(attributes)))
@@ -68,6 +104,8 @@ def hits(postings: DataFrame, matches: DataFrame, tokens: Iterable[Token], attri
     for t in tokens:
         folded = F.when(F.col("token") == t.index, F.lit(t.folded)).otherwise(folded)
     key = F.col("attribute") * F.lit(ATTRIBUTE_STEP) + F.col("position")
+    rows = rows.select("term", "doc_id", key.alias("key"), F.col("folded"))
+    key = F.col("key")
     return rows.join(matches, "term").select("doc_id", "token", key.alias("key"), "typos", (F.col("same") & (F.col("folded") == folded)).alias("exact"))
 
 
@@ -110,10 +148,12 @@ def needs_every_document(query: Query) -> bool:
     return all(g[0].negated for g in query.groups())
 
 
-def matching_documents(docs: DataFrame, postings: DataFrame, vocab: DataFrame, query: Query, config: IndexConfig, matching: str = "any", attributes: Iterable[int] | None = None) -> DataFrame:
-    """The documents (with doc_id) that match, with the columns of ``per_document`` for ranking."""
+def matching_documents(docs: DataFrame, postings: DataFrame, vocab: DataFrame, query: Query, config: IndexConfig, matching: str = "any", attributes: Iterable[int] | None = None, count_typos: bool = True) -> DataFrame:
+    """The documents (with doc_id) that match, with the columns of ``per_document`` for ranking. The vocabulary is looked up at once, the rest is lazy."""
     if not query.tokens:
         return docs
-    rows = per_document(hits(postings, term_matches(vocab, query.tokens, config), query.tokens, attributes), query)
+    matches, terms = known_matches(vocab, query.tokens, config, count_typos)
+    some = postings if terms is None else having_terms(postings, terms)
+    rows = per_document(hits(some, matches, query.tokens, attributes), query)
     joined = docs.join(rows, "doc_id", "left" if needs_every_document(query) else "inner")
     return joined.where(strategy(query, matching))

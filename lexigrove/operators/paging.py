@@ -18,6 +18,20 @@ def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0, doc_
     return rows.orderBy(*order, F.col(doc_id).asc()).offset(offset).limit(limit)
 
 
+def numbered(rows: DataFrame, order: list[Column], doc_id: str = "doc_id") -> DataFrame:
+    """The rows with their ``place`` in the order given and then by id, from 1 on. Rows are ranged and sorted range by range; only the ranges' sizes go to the driver."""
+    ranged = rows.orderBy(*order, F.col(doc_id).asc()).withColumn("__at", F.monotonically_increasing_id()).persist()
+    part = F.shiftright("__at", 33)
+    sizes = {r["part"]: r["count"] for r in ranged.groupBy(part.alias("part")).count().collect()}
+    begins, total = [], 0
+    for p in sorted(sizes):
+        begins.append((p, total))
+        total += sizes[p]
+    begin = rows.sparkSession.createDataFrame(begins, "__part bigint, __begin bigint")
+    nth = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.join(F.broadcast(begin), part == F.col("__part")).withColumn("place", F.col("__begin") + nth + 1).drop("__at", "__part", "__begin")
+
+
 def page_numbers(total: int, limit: int, offset: int) -> tuple[int, int]:
     """(page, number of pages)."""
     if limit <= 0:

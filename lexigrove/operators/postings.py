@@ -51,11 +51,11 @@ def with_variants(base: DataFrame, languages: DataFrame | None = None, split_com
     """The postings with those of their stems and compound parts, at the same positions and marked as folded.
 
     Stems and parts are found once per distinct word and joined back. Of equal (term, document, position) the plain word's
-    row stays. languages: (doc_id, language).
+    row stays. languages: (doc_id, language), or (doc_id, attribute, language) with one for each attribute.
     """
     parts = [base.withColumn("variant", F.lit(False))]
     if languages is not None:
-        own = base.join(languages, "doc_id")
+        own = base.join(languages, ["doc_id", "attribute"] if "attribute" in languages.columns else "doc_id")
         pairs = own.select("term", "language").distinct().withColumn("stem", stem_column(F.col("term"), F.col("language"))).where("stem <> term")
         parts.append(own.join(pairs, ["term", "language"]).select(F.col("stem").alias("term"), "doc_id", "attribute", "position", F.lit(True).alias("folded"), F.lit(True).alias("variant")))
     if split_compounds:

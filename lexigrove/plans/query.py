@@ -23,6 +23,8 @@ class Token:
     phrase: int | None = None
     negated: bool = False
     last: bool = False
+    #: Its stem in the query's language, if that is another word.
+    stems: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -83,8 +85,16 @@ def parse_query(text: str, config: IndexConfig) -> Query:
     return Query(text, tuple(kept), analysed)
 
 
-def accepts(token: Token, term: str, config: IndexConfig) -> tuple[int, bool] | None:
-    """(typos, exact) if the term matches the token, else none.
+def with_stems(query: Query, language: str | None) -> Query:
+    """The query whose tokens outside of phrases match their stems too."""
+    if language is None:
+        return query
+    tokens = tuple(t if t.phrase is not None or (s := stem(t.term, language)) == t.term else dataclasses.replace(t, stems=(s,)) for t in query.tokens)
+    return dataclasses.replace(query, tokens=tokens)
+
+
+def accepts(token: Token, term: str, config: IndexConfig, count: bool = True) -> tuple[int, bool] | None:
+    """(typos, exact) if the term matches the token, else none; typos are 0 if they needn't be counted.
 
     Tokens of phrases match as they are. Others allow typos by their length, in terms at most one letter longer or shorter,
     and the last one matches terms that it begins, whose typos are counted against the whole term.
@@ -93,6 +103,8 @@ def accepts(token: Token, term: str, config: IndexConfig) -> tuple[int, bool] |
         return 0, True
     if token.phrase is not None:
         return None
+    if term in token.stems:
+        return 0, False
     typo, double = config.typo, config.typo.first_letter_counts_double
     k = typo.allowed(token.term)
     prefix = token.last and len(token.term) >= config.min_prefix_length
@@ -104,7 +116,7 @@ def accepts(token: Token, term: str, config: IndexConfig) -> tuple[int, bool] |
         hit = any(damerau(term[:m], token.term, double) <= k for m in lengths)
     if not hit:
         return None
-    return (damerau(term, token.term, double) if typo.enabled else 0), False
+    return (damerau(term, token.term, double) if typo.enabled and count else 0), False
 
 
 def matched_words(text: str, query: Query, config: IndexConfig, language: str | None = None) -> list[Word]:

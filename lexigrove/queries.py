@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexigrove import schema as S
 from lexigrove.config import IndexConfig, TypoTolerance
+from lexigrove.engine import SearchIndex
 from lexigrove.functions import geo
 from lexigrove.functions.language import detect_column
 from lexigrove.functions.stem import compounds, stem_column
 from lexigrove.functions.text import WORD, fold_sql
 from lexigrove.operators import facets, matching, paging, postings, ranking
+from lexigrove.params import BrowseParams, SearchParams
 from lexigrove.plans.filters import compile_filter, parse
 from lexigrove.plans.query import Query, parse_query
 from lexigrove.plans.sorting import order_columns, parse_sort
@@ -239,11 +241,29 @@ def _score_sql(query: Query) -> str:
     return f"({total}) / {sum(0.7**i for i in range(5))!r}"
 
 
-for _rule in (*CONFIG.ranking_rules, "score"):
+for _rule in ("words", "typo", "proximity", "exactness", "score"):
     _q = parse_query(_RANKED, CONFIG)
     register(f"rank_{_rule}", f"{_match_sql(_q, 'any')} SELECT doc_id, round({_score_sql(_q) if _rule == 'score' else _rule_sql(_q, _rule)}, 5) AS score FROM found")(_ranked(_rule))
 
 
+TWO = IndexConfig(primary_key="p_partkey", searchable=("p_name", "p_type"), typo=TypoTolerance(enabled=False))
+
+
+def _has(column: str, word: str) -> str:
+    return f"list_contains(list_transform(regexp_extract_all({column}, '[A-Za-z0-9]+'), lambda w: lower(w)), '{word}')"
+
+
+@register("rank_attribute", f"""SELECT p_partkey, CAST(CASE WHEN {_has("p_name", "small")} THEN 1.0 WHEN {_has("p_type", "small")} THEN 0.8 ELSE 1.0 END AS DOUBLE) AS score
+FROM part WHERE {_has("p_name", "small")} OR {_has("p_type", "small")} OR {_has("p_name", "gizmo")}""")
+def rank_attribute(spark, sf_dir):
+    """A word found in the second attribute only weighs less."""
+    parts = table(spark, sf_dir, "part")
+    rows = postings.postings(parts, [("p_name", S.STRING), ("p_type", S.STRING)], "p_partkey")
+    query = parse_query("small gizmo", TWO)
+    found = matching.matching_documents(parts.withColumnRenamed("p_partkey", "doc_id"), rows, postings.vocabulary(rows), query, TWO)
+    return found.select(F.col("doc_id").alias("p_partkey"), F.round(ranking.rule("attribute", query, TWO), 5).alias("score"))
+
+
 @register("score_threshold", f"{_match_sql(parse_query(_RANKED, CONFIG), 'any')} SELECT doc_id FROM found WHERE {_score_sql(parse_query(_RANKED, CONFIG))} >= 0.8")
 def score_threshold(spark, sf_dir):
     query = parse_query(_RANKED, CONFIG)
@@ -443,6 +463,17 @@ def distinct_nulls(spark, sf_dir):
     return paging.distinct_best(part_with_nulls(spark, sf_dir), "p_size", [F.col("p_retailprice").asc_nulls_last()], "p_partkey").select("p_partkey", "p_size")
 
 
+def _part_places(entry: str) -> Build:
+    """The place of every row in the order."""
+
+    def build(spark, sf_dir):
+        config = IndexConfig(primary_key="p_partkey", sortable=("p_size", "p_type", "p_retailprice"))
+        order = order_columns(parse_sort((entry,), config), PART, config, parse("", ()), None)
+        return paging.numbered(part_with_nulls(spark, sf_dir), order, "p_partkey").select("p_partkey", "place")
+
+    return build
+
+
 def _part_page(entry: str, limit: int, offset: int) -> Build:
     def build(spark, sf_dir):
         config = IndexConfig(primary_key="p_partkey", sortable=("p_size", "p_type", "p_retailprice"))
@@ -453,8 +484,9 @@ def _part_page(entry: str, limit: int, offset: int) -> Build:
 
 
 PART_ROWS_SQL = PART_SQL.removesuffix(" WHERE ")
-register("sort_nulls_last", f"{PART_ROWS_SQL} ORDER BY p_size DESC NULLS LAST, p_partkey LIMIT 1000")(_part_page("p_size:desc", 1000, 0))
-register("sort_empty_last", f"{PART_ROWS_SQL} ORDER BY p_type IS NULL, p_type = '', p_type, p_partkey LIMIT 1000")(_part_page("p_type:asc", 1000, 0))
+register("sort_nulls_last", PART_ROWS_SQL.replace("SELECT p_partkey", "SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC NULLS LAST, p_partkey) AS place", 1))(_part_places("p_size:desc"))
+register("sort_nulls_last_ascending", PART_ROWS_SQL.replace("SELECT p_partkey", "SELECT p_partkey, row_number() OVER (ORDER BY p_size ASC NULLS LAST, p_partkey) AS place", 1))(_part_places("p_size:asc"))
+register("sort_empty_last", PART_ROWS_SQL.replace("SELECT p_partkey", "SELECT p_partkey, row_number() OVER (ORDER BY p_type IS NULL, p_type = '', p_type, p_partkey) AS place", 1))(_part_places("p_type:asc"))
 register("page_offset", f"{PART_ROWS_SQL} ORDER BY p_retailprice DESC NULLS LAST, p_partkey LIMIT 25 OFFSET 50")(_part_page("p_retailprice:desc", 25, 50))
 
 
@@ -464,59 +496,122 @@ def sort_by_text_key(spark, sf_dir):
     return _part_page("p_partkey:asc", 100, 0)(spark, sf_dir)
 
 
-@register("total_hits_capped", "SELECT least(1000, count(*)) AS total FROM documents WHERE n_chars > 100")
+@register("total_hits_capped", "SELECT least(150, count(*)) AS total FROM documents WHERE n_chars > 100")
 def total_hits_capped(spark, sf_dir):
-    kinds = {"n_chars": S.NUMBER}
-    rows = table(spark, sf_dir, "documents").where(compile_filter(parse("n_chars > 100", kinds), kinds))
-    return rows.agg(F.least(F.lit(CONFIG.max_total_hits).cast("bigint"), F.count("*")).alias("total"))
+    index = meta_index(spark, sf_dir, max_total_hits=150)
+    return _values(spark, [(index.search(SearchParams(filter="n_chars > 100", limit=1)).total_hits,)], "total bigint")
+
 
+# indexes: what goes through documents in and out
 
-@register("browse_filtered", "SELECT doc_id, lang FROM documents WHERE lang = 'en' AND source IS DISTINCT FROM 'src1'")
+def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def meta_index(spark: SparkSession, sf_dir: str, **more) -> SearchIndex:
+    """The documents' columns but the text, which isn't needed here."""
+    index = SearchIndex(spark, IndexConfig(primary_key="key", searchable=("source",), filterable=("lang", "source", "n_chars"), sortable=("n_chars",), typo=TypoTolerance(enabled=False), **more))
+    index.add(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "lang", "source", "n_chars"))
+    return index
+
+
+def part_index(spark: SparkSession, sf_dir: str, **more) -> SearchIndex:
+    index = SearchIndex(spark, TWO.with_(filterable=("p_size", "p_brand"), sortable=("p_size",), **more))
+    index.add(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
+    return index
+
+
+def every_hit(index: SearchIndex, params: BrowseParams) -> list[dict]:
+    """The hits of all pages."""
+    out, page = [], index.browse(params.with_(limit=1000, offset=0))
+    while page.hits:
+        out += page.hits
+        page = index.browse(params.with_(limit=1000, offset=len(out)))
+    return out
+
+
+@register("browse_filtered", "SELECT doc_id AS key, lang FROM documents WHERE lang = 'en' AND source IS DISTINCT FROM 'src1'")
 def browse_filtered(spark, sf_dir):
-    kinds = {"lang": S.STRING, "source": S.STRING}
-    return table(spark, sf_dir, "documents").where(compile_filter(parse("lang = 'en' AND source != 'src1'", kinds), kinds)).select("doc_id", "lang")
+    hits = every_hit(meta_index(spark, sf_dir), BrowseParams(filter="lang = 'en' AND source != 'src1'", retrieve=("key", "lang")))
+    return _values(spark, [(h["key"], h["lang"]) for h in hits], "key bigint, lang string")
 
 
-@register("project_attributes", "SELECT doc_id, source FROM documents")
+@register("project_attributes", "SELECT doc_id AS key, 'key,source' AS shown, source FROM documents")
 def project_attributes(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "source")
+    """Hits have the attributes that are asked for, and no others."""
+    hits = every_hit(meta_index(spark, sf_dir), BrowseParams(retrieve=("key", "source")))
+    return _values(spark, [(h["key"], ",".join(sorted(h)), h["source"]) for h in hits], "key bigint, shown string, source string")
+
+
+@register("displayed_attributes", "SELECT p_partkey, 'p_name,p_partkey' AS shown FROM part")
+def displayed_attributes(spark, sf_dir):
+    """What isn't displayed is searched and filtered by, and no hit has it."""
+    hits = every_hit(part_index(spark, sf_dir, displayed=("p_name",)), BrowseParams(filter="p_size IS NOT NULL"))
+    return _values(spark, [(h["p_partkey"], ",".join(sorted(h))) for h in hits], "p_partkey bigint, shown string")
+
+
+@register("search_on_one_attribute", f"SELECT p_partkey FROM part WHERE {_has('p_type', 'small')}")
+def search_on_one_attribute(spark, sf_dir):
+    hits = every_hit(part_index(spark, sf_dir), BrowseParams(query="small", search_on=("p_type",)))
+    return _values(spark, [(h["p_partkey"],) for h in hits], "p_partkey bigint")
+
+
+@register("stop_words_of_a_query", f"SELECT p_partkey FROM part WHERE {_has('p_name', 'gizmo')} UNION ALL SELECT -p_partkey - 1 FROM part WHERE {_has('p_name', 'small')} OR {_has('p_type', 'small')}")
+def stop_words_of_a_query(spark, sf_dir):
+    """A stop word of a query doesn't count, unless the query has nothing else: such hits have negative numbers here."""
+    index = part_index(spark, sf_dir, stop_words=("small",))
+    hits = [h["p_partkey"] for h in every_hit(index, BrowseParams(query="small gizmo"))] + [-h["p_partkey"] - 1 for h in every_hit(index, BrowseParams(query="small"))]
+    return _values(spark, [(h,) for h in hits], "p_partkey bigint")
+
 
+@register("query_token_limit", f"SELECT p_partkey, 'nothing red \"blue\"' AS query FROM part WHERE {_has('p_name', 'red')} OR {_has('p_name', 'blue')}")
+def query_token_limit(spark, sf_dir):
+    """Words beyond the limit don't count, and the query that is given back ends before them, its phrase closed."""
+    index, text = part_index(spark, sf_dir, max_query_tokens=3), 'nothing red "blue bolt" gizmo'
+    hits, query = every_hit(index, BrowseParams(query=text)), index.search(SearchParams(query=text)).query
+    return _values(spark, [(h["p_partkey"], query) for h in hits], "p_partkey bigint, query string")
 
-# changes of an index
 
 @register("upsert_changed", "SELECT p_partkey FROM part WHERE p_size > 25")
 def upsert_changed(spark, sf_dir):
-    """Rows whose contents differ from what is stored, by a hash of them."""
-    old = table(spark, sf_dir, "part")
-    new = old.withColumn("p_name", F.when(F.col("p_size") > 25, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")))
-    digest = F.xxhash64(F.to_json(F.struct(*sorted(old.columns))))
-    return new.select("p_partkey", digest.alias("new")).join(old.select("p_partkey", digest.alias("old")), "p_partkey").where("old <> new").select("p_partkey")
+    """The documents that a second version of the table replaces: those that have changed."""
+    index = part_index(spark, sf_dir)
+    before = {r["p_partkey"]: r["doc_id"] for r in index.documents.collect()}
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    index.add(parts.withColumn("p_name", F.when(F.col("p_size") > 25, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name"))))
+    changed = [(r["p_partkey"],) for r in index.documents.collect() if before.get(r["p_partkey"]) != r["doc_id"]]
+    return _values(spark, changed, "p_partkey bigint")
 
 
 @register("delete_by_key", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def delete_by_key(spark, sf_dir):
-    gone = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey")).distinct()
-    return table(spark, sf_dir, "part").join(gone, "p_partkey", "left_anti").select("p_partkey")
+    index = part_index(spark, sf_dir)
+    index.delete([r[0] for r in table(spark, sf_dir, "lineitem").where("l_quantity > 49").select("l_partkey").distinct().collect()])
+    return index.documents.select("p_partkey")
 
 
 @register("orphan_terms", f"WITH {POSTINGS_SQL} SELECT term FROM vocab EXCEPT SELECT DISTINCT term FROM post JOIN documents USING (doc_id) WHERE lang <> 'es'")
 def orphan_terms(spark, sf_dir):
     """Terms that go when the Spanish documents do."""
-    rows, docs = documents_postings(spark, sf_dir), table(spark, sf_dir, "documents")
-    left = rows.join(docs.where("lang <> 'es'").select("doc_id"), "doc_id", "left_semi")
-    return postings.vocabulary(rows).select("term").join(postings.vocabulary(left).select("term"), "term", "left_anti")
+    index = SearchIndex(spark, IndexConfig(primary_key="key", searchable=("text",), filterable=("lang",), typo=TypoTolerance(enabled=False)))
+    index.add(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text", "lang"))
+    before = index.store.read("vocabulary").select("term")
+    index.delete_where("lang = 'es'")
+    return before.join(index.store.read("vocabulary"), "term", "left_anti")
 
 
 @register("count_documents", "SELECT count(*) AS n FROM documents")
 def count_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
+    return _values(spark, [(meta_index(spark, sf_dir).count(),)], "n bigint")
 
 
-@register("schema_evolution", "SELECT p_partkey AS key, p_name AS name, NULL AS comment FROM part UNION ALL SELECT s_suppkey, NULL, s_name FROM supplier")
+@register("schema_evolution", "SELECT p_partkey AS key, p_name AS name, NULL AS comment FROM part WHERE p_partkey NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT s_suppkey, NULL, s_name FROM supplier")
 def schema_evolution(spark, sf_dir):
-    a = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"))
-    b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("comment"))
-    return a.unionByName(b, allowMissingColumns=True)
+    """Documents with another attribute are added, and replace those with their keys."""
+    index = SearchIndex(spark, IndexConfig(primary_key="key", searchable=("name", "comment"), typo=TypoTolerance(enabled=False)))
+    index.add(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name")))
+    index.add(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("comment")))
+    return index.documents.select("key", "name", "comment")
 
 
 @register("typo_prefix_optional", None)

@@ -1,0 +1,145 @@
+"""Incremental changes: what is written, by whom, and what readers see."""
+
+from __future__ import annotations
+
+import os
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexigrove.config import IndexConfig, TypoTolerance
+from lexigrove.engine import SearchIndex
+from lexigrove.errors import IndexLocked, InvalidDocument
+from lexigrove.params import SearchParams
+from lexigrove.sources import store
+from lexigrove.streaming.ingest import index_stream
+
+CONFIG = IndexConfig(searchable=("text",), filterable=("kind",), typo=TypoTolerance(enabled=False))
+
+
+def ids(result):
+    return sorted(h["id"] for h in result.hits)
+
+
+def files(path):
+    return {os.path.join(d, f): os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(path) for f in fs}
+
+
+def many(spark, n, first=0):
+    return spark.range(first, first + n).selectExpr("id", "concat('word', id % 7, ' unique', id, ' ', repeat('filler', 20)) as text", "cast(id % 3 as string) as kind")
+
+
+def test_a_change_writes_no_more_than_itself(spark, tmp_path):
+    path = str(tmp_path / "index")
+    index = SearchIndex(spark, CONFIG, path)
+    index.add(many(spark, 4_000))
+    before = files(path)
+    index.add([{"id": 7, "text": "changed text", "kind": "0"}, {"id": 8, "text": "word1 unique8 " + "filler" * 20, "kind": "2"}, {"id": 9_999, "text": "new one", "kind": "1"}])
+    written = sum(size for name, size in files(path).items() if name not in before)
+    assert written < 0.2 * sum(before.values()), (written, sum(before.values()))
+    assert index.statistics()["segments"] == 2 and index.statistics()["replaced"] == 1
+    assert index.count() == 4_001 and ids(index.search(SearchParams(query="changed"))) == [7] and ids(index.search(SearchParams(query='"unique7"'))) == []
+    unchanged = files(path)
+    index.add(many(spark, 3))  # 7 isn't among them
+    assert files(path) == unchanged
+    index.delete([9_999, 5])
+    assert index.count() == 3_999 and index.get(5) is None and ids(index.search(SearchParams(query="new"))) == []
+    assert index.store.read("vocabulary").where("term in ('new', 'unique5', 'unique7')").count() == 0
+    assert index.store.read("postings").where("term = 'unique5'").count() == 0
+    index.compact()
+    assert index.statistics()["segments"] == 1 and index.statistics()["replaced"] == 0 and index.count() == 3_999
+    assert ids(SearchIndex(spark, CONFIG, path).search(SearchParams(query="changed"))) == [7]
+
+
+def test_segments_are_merged_geometrically(spark):
+    index, most = SearchIndex(spark, CONFIG), 0
+    for k in range(9):
+        index.add([{"id": k, "text": f"number{k} word", "kind": "x"}])
+        sizes = [s["count"] for s in index.store.manifest()["segments"]]
+        assert sum(sizes) == k + 1 and all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+        most = max(most, len(sizes))
+    assert most <= 4 and index.search(SearchParams(query="word")).total_hits == 9 and index.get(4)["text"] == "number4 word"
+
+
+def test_a_quarter_gone_is_cleared_away(spark):
+    index = SearchIndex(spark, CONFIG)
+    index.add(many(spark, 100))
+    index.delete(list(range(20)))
+    assert index.statistics()["replaced"] == 20
+    index.delete_where("kind = '0'")
+    assert index.statistics()["replaced"] == 0 and index.count() == sum(i % 3 != 0 for i in range(20, 100))
+
+
+def test_a_reader_keeps_what_it_has_opened(spark, tmp_path):
+    path = str(tmp_path / "index")
+    index = SearchIndex(spark, CONFIG, path)
+    index.add([{"id": 1, "text": "first", "kind": "a"}])
+    reader = SearchIndex(spark, CONFIG, path)
+    opened = reader.documents
+    index.add([{"id": 1, "text": "second", "kind": "a"}])
+    assert [r["text"] for r in opened.collect()] == ["first"]
+    assert reader.get(1)["text"] == "second"
+
+
+def test_one_writer_at_a_time(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "index")
+    one, other = SearchIndex(spark, CONFIG, path), SearchIndex(spark, CONFIG, path)
+    one.add([{"id": 1, "text": "one", "kind": "a"}])
+    monkeypatch.setattr(store, "WAIT_SECONDS", 0.3)
+    with one.store.writing():
+        with pytest.raises(IndexLocked):
+            other.add([{"id": 2, "text": "two", "kind": "a"}])
+        one.add([{"id": 3, "text": "three", "kind": "a"}])  # nested in its own lock
+    other.add([{"id": 2, "text": "two", "kind": "a"}])
+    assert one.count() == 3
+    # a lock that a lost writer has left; that writer, if it comes back, can't commit
+    with pytest.raises(IndexLocked), one.store.writing():
+        monkeypatch.setattr(store, "STALE_SECONDS", 0.0)
+        time.sleep(0.05)
+        other.add([{"id": 4, "text": "four", "kind": "a"}])
+        one.add([{"id": 5, "text": "five", "kind": "a"}])
+    assert ids(one.search(SearchParams())) == [1, 2, 3, 4]
+
+
+def test_writes_rebuild_an_index_of_other_settings(spark, tmp_path):
+    path = str(tmp_path / "index")
+    SearchIndex(spark, CONFIG, path).add([{"id": 1, "text": "green tea", "kind": "a", "more": "black coffee"}])
+    index = SearchIndex(spark, CONFIG.with_(searchable=("text", "more")), path)
+    assert index.needs_reindex() and index.search(SearchParams(query="coffee")).total_hits == 0
+    index.add([{"id": 2, "text": "water", "kind": "a", "more": "ice"}])
+    assert not index.needs_reindex() and ids(index.search(SearchParams(query="coffee"))) == [1] and ids(index.search(SearchParams(query="ice"))) == [2]
+
+
+def test_keys_of_frames(spark):
+    index = SearchIndex(spark, CONFIG)
+    with pytest.raises(InvalidDocument):
+        index.add(spark.createDataFrame([(1, "a"), (None, "b")], "id bigint, text string"))
+    rows = [(1, "a"), (1, "b"), (2, "c")]
+    kept = set()
+    for order in (rows, rows[::-1]):
+        index = SearchIndex(spark, CONFIG)
+        index.add(spark.createDataFrame(order, "id bigint, text string"))
+        kept.add((index.count(), index.get(1)["text"]))
+    assert len(kept) == 1 and kept.pop()[0] == 2
+
+
+def test_stream(spark, tmp_path):
+    """Each batch is a change; what is sent again changes nothing."""
+    source, path = str(tmp_path / "in"), str(tmp_path / "index")
+    index = SearchIndex(spark, CONFIG, path)
+    many(spark, 50).coalesce(1).write.parquet(source)
+
+    def run(checkpoint):
+        stream = spark.readStream.schema("id bigint, text string, kind string").option("maxFilesPerTrigger", 1).parquet(source)
+        index_stream(stream, index, str(tmp_path / checkpoint)).awaitTermination(120)
+
+    run("c1")
+    assert index.count() == 50
+    many(spark, 10, 45).withColumn("text", F.concat("text", F.lit(" streamed"))).coalesce(1).write.mode("append").parquet(source)
+    run("c1")
+    assert index.count() == 55 and sorted(h["id"] for h in index.search(SearchParams(query="streamed", limit=50)).hits) == list(range(45, 55))
+    version = index.store.manifest()["version"]
+    many(spark, 0).coalesce(1).write.mode("append").parquet(source)
+    run("c1")
+    assert index.store.manifest()["version"] == version
