@@ -47,7 +47,7 @@ class SuffixLevels:
     def _write(self, df: DataFrame) -> tuple[str, str]:
         name = f"suffixes_{uuid.uuid4().hex}"
         path = f"{self.shared.root}/{name}"
-        df.sortWithinPartitions("prefix", "doc_id", "pos").write.bucketBy(self.buckets, "prefix").sortBy("prefix", "doc_id", "pos").option("path", path).format("parquet").saveAsTable(name)
+        df.sortWithinPartitions("prefix", "doc_id", "text_hash", "pos").write.bucketBy(self.buckets, "prefix").sortBy("prefix", "doc_id", "text_hash", "pos").option("path", path).format("parquet").saveAsTable(name)
         return name, path
 
     def _drop(self, name: str, path: str) -> None:
@@ -55,7 +55,7 @@ class SuffixLevels:
         self.shared.drop(path)
 
     def add(self, docs: DataFrame) -> None:
-        """Takes in a batch of (doc_id, text)."""
+        """Takes in a batch of (doc_id, text, text_hash)."""
         found = spans.anchors(docs, self.min_words, self.prefix).distinct()
         name, path = self._write(found.repartition(self.buckets, "prefix"))
         with self._bucketed():
@@ -76,7 +76,7 @@ class SuffixLevels:
     def marks(self) -> DataFrame:
         """(doc_id, pos, n) of the suffixes that begin as one of another place does, n being the number of such."""
         if not self.levels:
-            return self.spark.createDataFrame([], "doc_id bigint, pos int, n bigint")
+            return self.spark.createDataFrame([], "doc_id bigint, text_hash bigint, pos int, n bigint")
         met = self.met[0]
         for other in self.met[1:]:
             met = met.unionByName(other)
@@ -94,14 +94,8 @@ class SuffixLevels:
 
 
 def batches(rows: DataFrame, n: int) -> list[DataFrame]:
-    """The rows in n ranges of doc_id, of about as many rows."""
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"] if n > 1 else []
-    bounds = [None, *sorted(set(cuts or [])), None]
-    out = []
-    for low, high in zip(bounds, bounds[1:]):
-        part = rows if low is None else rows.where(F.col("doc_id") > low)
-        out.append(part if high is None else part.where(F.col("doc_id") <= high))
-    return out
+    """The rows in n parts of about as many rows, by a hash of the id, which can be of any type."""
+    return [rows.where(F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(n)) == i) for i in range(n)]
 
 
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = spans.MIN_WORDS, n_batches: int = BATCHES, buckets: int | None = None) -> DataFrame:

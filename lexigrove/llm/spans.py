@@ -5,6 +5,12 @@ start at a minimum of WINDOW successive PREFIX-word hashes: any MIN_WORDS words
 copy, so no repeat of MIN_WORDS words is missed. Suffixes whose first PREFIX words occur once in the corpus are dropped;
 the others get their surroundings, as many words as a passage of MIN_WORDS around them can reach, and passages longer than
 that are put together from those that overlap.
+
+Suffixes are split into groups by a prefix, as long as it takes for a group to fit in memory. A passage around a sampled
+suffix begins 0 to MIN_WORDS - PREFIX words before it. Where a group of PREFIX words is too large, the suffixes that begin
+0 to 15 words before are grouped by their first 35 words, which all such passages share, and likewise those that begin 16 to 30
+words before; where that is too large still, both are halved again, with prefixes of 43, 47, 49 and at last 50 words. Those of
+one group of 50 words are the leaves below one internal node, whose number and first leaf are all that is wanted.
 """
 
 from __future__ import annotations
@@ -13,13 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from lexigrove.llm.common import Windows, expand, known, mix, text_slices, tokens, winnow
+from lexigrove.llm.common import Shared, Windows, known, mix, released, text_slices, tokens, type_of, winnow
 
 MIN_WORDS = 50
 PREFIX = 20
-#: Suffixes of one prefix beyond this number are split by their whole MIN_WORDS-word prefixes instead of in memory.
+#: Suffixes of one prefix beyond this number are split by longer ones.
 GROUP_ROWS = 100_000
 #: Rows that a subtree is built over at a time, at least.
 BATCH_ROWS = 60_000
@@ -34,29 +41,29 @@ def prefix_words(min_words: int) -> int:
 
 
 def anchors(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int = PREFIX) -> DataFrame:
-    """(prefix, doc_id, pos): the hash of the first words, the document and the first word of each sampled suffix."""
+    """(prefix, doc_id, text_hash, pos): the hash of the first words, the document and the first word of each sampled suffix. docs: those of ``common.known``."""
     w = min_words - prefix + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
             for a, b, buf, offsets in text_slices(batch):
                 h, _, _, first = tokens(buf, offsets)
                 at, fp = winnow(h, first, prefix, w)
                 row = np.searchsorted(first, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(ids[a + row]), pa.array((at - first[row]).astype(np.int32))], ["prefix", "doc_id", "pos"])
+                named = [batch.column(i).take(pa.array(a + row)) for i in (0, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), *named, pa.array((at - first[row]).astype(np.int32))], ["prefix", "doc_id", "text_hash", "pos"])
 
-    return docs.mapInArrow(run, "prefix bigint, doc_id bigint, pos int")
+    return docs.mapInArrow(released(run), f"prefix bigint, doc_id {type_of(docs)}, text_hash bigint, pos int")
 
 
 def surroundings(marked: DataFrame, docs: DataFrame, min_words: int = MIN_WORDS, prefix: int = PREFIX) -> DataFrame:
-    """(prefix, doc_id, pos, before, after) of the marked (doc_id, pos): hashes of the words before, the nearest first, and of those after the prefix."""
+    """(prefix, doc_id, text_hash, pos, before, after) of the marked (doc_id, text_hash, pos): hashes of the words before, the nearest first, and of those after the prefix."""
     side = min_words - prefix
-    lists = marked.groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
+    lists = marked.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, at = batch.column(0).to_numpy(), batch.column(2)
+            at = batch.column(3)
             for a, b, buf, offsets in text_slices(batch):
                 h, _, _, first = tokens(buf, offsets)
                 if len(h) < prefix:
@@ -64,8 +71,6 @@ def surroundings(marked: DataFrame, docs: DataFrame, min_words: int = MIN_WORDS,
                 own = at.slice(a, b - a)
                 row = np.repeat(np.arange(b - a), own.value_lengths().to_numpy(zero_copy_only=False))
                 pos = own.flatten().to_numpy().astype(np.int64)
-                inside = pos + prefix <= (first[1:] - first[:-1])[row]  # rows of one id can differ in their texts
-                row, pos = row[inside], pos[inside]
                 grams = Windows(h).of(prefix)
                 short = np.maximum((h >> np.uint64(32)).astype(">u4"), 1).astype(">u4")
                 for i in range(0, len(row), 50_000):
@@ -75,11 +80,11 @@ def surroundings(marked: DataFrame, docs: DataFrame, min_words: int = MIN_WORDS,
                     ahead = where[:, None] + prefix + np.arange(side)
                     before = np.where(back >= first[r][:, None], short[np.maximum(back, 0)], 0).astype(">u4")
                     after = np.where(ahead < first[r + 1][:, None], short[np.minimum(ahead, len(h) - 1)], 0).astype(">u4")
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(grams[where].view(np.int64)), pa.array(ids[a + r]), pa.array(p.astype(np.int32)), _fixed(before), _fixed(after)], ["prefix", "doc_id", "pos", "before", "after"]
-                    )
+                    named = [batch.column(k).take(pa.array(a + r)) for k in (0, 2)]
+                    yield pa.RecordBatch.from_arrays([pa.array(grams[where].view(np.int64)), *named, pa.array(p.astype(np.int32)), _fixed(before), _fixed(after)], ["prefix", "doc_id", "text_hash", "pos", "before", "after"])
 
-    return docs.join(lists, "doc_id").select("doc_id", "text", "at").mapInArrow(run, "prefix bigint, doc_id bigint, pos int, before binary, after binary")
+    found = docs.join(lists, ["doc_id", "text_hash"]).select("doc_id", "text", "text_hash", "at")
+    return found.mapInArrow(released(run), f"prefix bigint, doc_id {type_of(docs)}, text_hash bigint, pos int, before binary, after binary")
 
 
 def _fixed(a: np.ndarray) -> pa.Array:
@@ -94,18 +99,31 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8, count=len(column) * width, offset=int(start)).view(">u4").reshape(len(column), width // 4)
 
 
-def subtree(prefix: np.ndarray, doc: np.ndarray, pos: np.ndarray, before: np.ndarray, after: np.ndarray, min_words: int = MIN_WORDS, head: int = PREFIX) -> tuple[np.ndarray, ...]:
-    """(doc_id, start, end, later start, later end, copies) of each suffix that lies in a repeat.
+def _ranks(t: pa.Table) -> np.ndarray:
+    """The documents' places in the order of (doc_id, text_hash), equal ones for equal documents."""
+    ids, hashes = t["doc_id"], t["text_hash"].to_numpy()
+    ids = ids.to_numpy() if pa.types.is_integer(ids.type) else np.unique(np.array([*ids.to_pylist(), None], object)[:-1], return_inverse=True)[1]
+    order = np.lexsort((hashes, ids))
+    new = np.concatenate([[False], (ids[order][1:] != ids[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])])[: len(order)]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def subtree(prefix: np.ndarray, doc: np.ndarray, pos: np.ndarray, before: np.ndarray, after: np.ndarray, min_words: int = MIN_WORDS, head: int = PREFIX, least: int = 0, most: int | None = None) -> tuple[np.ndarray, ...]:
+    """(row, start, end, later start, later end, copies) of each suffix that lies in a repeat.
 
     The suffixes are sorted; the longest common prefixes of neighbours are the depths of the suffix tree's internal nodes.
-    The leaves below a node of depth d whose d words are preceded by the same min_words - d words are copies of one passage.
-    The passage of all but the first copy, in the order of (doc_id, pos), is later.
+    The leaves below a node of depth d whose d words are preceded by the same min_words - d words are copies of one passage;
+    only passages that begin ``least`` to ``most`` words before the suffix are looked at. The passage of all but the first
+    copy, in the order of (doc, pos), is later.
     """
     side = min_words - head
+    most = side if most is None else most
     rank = np.lexsort((pos, doc, prefix))
     same = np.concatenate([[False], (prefix[rank][1:] == prefix[rank][:-1]) & (doc[rank][1:] == doc[rank][:-1]) & (pos[rank][1:] == pos[rank][:-1])])
     keep = rank[~same]
-    prefix, doc, pos, before, after = prefix[keep], doc[keep], pos[keep], before[keep], after[keep]
+    prefix, pos, before, after = prefix[keep], pos[keep], before[keep], after[keep]
     n = len(keep)
     wide = np.empty((n, 2 + side), ">u4")
     wide[:, :2] = prefix.view(np.uint64).astype(">u8").view(">u4").reshape(n, 2)
@@ -122,10 +140,12 @@ def subtree(prefix: np.ndarray, doc: np.ndarray, pos: np.ndarray, before: np.nda
     later_start, later_end, copies = start.copy(), end.copy(), end.copy()
     at = pos[order].astype(np.int64)
     h = np.zeros(n, np.uint64)
-    for d in range(min_words, head - 1, -1):
-        o = min_words - d
+    for o in range(most + 1):
+        d = min_words - o
         if o:
             h = mix(h * _C + left[:, o - 1])
+        if o < least:
+            continue
         node = np.cumsum(lcp < d)
         leaves = np.flatnonzero((np.bincount(node)[node] > 1) & (n_before >= o) & (n_after >= d - head))
         if not len(leaves):
@@ -141,27 +161,43 @@ def subtree(prefix: np.ndarray, doc: np.ndarray, pos: np.ndarray, before: np.nda
         later_start[hit], later_end[hit] = np.minimum(later_start[hit], at[hit] - o), np.maximum(later_end[hit], at[hit] + d)
     hit = np.flatnonzero(end)
     none = later_end[hit] == 0
-    return doc[order][hit], start[hit], end[hit], np.where(none, end[hit], later_start[hit]), np.where(none, end[hit], later_end[hit]), copies[hit]
+    return keep[order][hit], start[hit], end[hit], np.where(none, end[hit], later_start[hit]), np.where(none, end[hit], later_end[hit]), copies[hit]
+
 
+NUMBERS = ("start_word", "end_word", "later_start", "later_end", "copies")
 
-SPAN = "doc_id bigint, start_word int, end_word int, later_start int, later_end int, copies int"
 
+def _span_schema(docs: DataFrame) -> str:
+    return f"doc_id {type_of(docs)}, text_hash bigint, " + ", ".join(f"{c} int" for c in NUMBERS)
 
-def _spans(doc: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    names = [c.split()[0] for c in SPAN.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(doc), *(pa.array(c.astype(np.int32)) for c in columns)], names)
 
+def _trees(t: pa.Table, key: np.ndarray, side: int, min_words: int, prefix: int, least: int = 0, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The spans of the suffixes of a table, grouped by the key, as batches."""
+    row, *numbers = subtree(key, _ranks(t), t["pos"].to_numpy(), _matrix(t["before"], 4 * side), _matrix(t["after"], 4 * side), min_words, prefix, least, most)
+    own = t.select(["doc_id", "text_hash"]).take(pa.array(row))
+    for name, x in zip(NUMBERS, numbers):
+        own = own.append_column(name, pa.array(x.astype(np.int32)))
+    yield from own.to_batches()
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: int, rows: int, more: int | None = None) -> Iterator[pa.Table]:
+    """Tables of at least ``rows`` rows (but the last) that no run of equal values in the sorted key column, or key columns, crosses."""
+
+    def equal_to_last(batch: pa.RecordBatch) -> np.ndarray:
+        out = np.ones(batch.num_rows, bool)
+        for k in (key, more) if more is not None else (key,):
+            column = batch.column(k)
+            out &= pc.equal(column, column[-1]).to_numpy(zero_copy_only=False)
+        return out
 
-def grouped(batches: Iterator[pa.RecordBatch], key: int, rows: int) -> Iterator[pa.Table]:
-    """Tables of at least ``rows`` rows (but the last) that no run of equal values in the sorted key column crosses."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         if sum(b.num_rows for b in held) >= rows:
-            values = batch.column(key).to_numpy()
-            cut = int(np.flatnonzero(values != values[-1])[-1]) + 1 if values[0] != values[-1] else 0
+            others = np.flatnonzero(~equal_to_last(batch))
+            cut = int(others[-1]) + 1 if len(others) else 0
             if cut == 0:
                 continue
             yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
@@ -170,42 +206,68 @@ def grouped(batches: Iterator[pa.RecordBatch], key: int, rows: int) -> Iterator[
         yield pa.Table.from_batches(held)
 
 
-def repeats(marked: DataFrame, docs: DataFrame, min_words: int = MIN_WORDS, prefix: int = PREFIX, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Merged repeats of the documents, from their marked suffixes (doc_id, pos, n), n being the number of suffixes with this prefix."""
+def refined(rows: DataFrame, least: int, most: int, min_words: int, prefix: int) -> DataFrame:
+    """The rows of ``surroundings`` with ``least``, ``most`` and ``key``: the hash of the words that all passages share which begin least to most words before the suffix. Rows without as many words are left out."""
     side = min_words - prefix
 
-    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(batch.schema.get_field_index("prefix")).to_numpy()
+            before, after = (_matrix(batch.column(batch.schema.get_field_index(c)), 4 * side).astype(np.uint64) for c in ("before", "after"))
+            fits = (before[:, :least] != 0).all(1) & (after[:, : side - most] != 0).all(1)
+            key = mix(own.view(np.uint64) + np.uint64(1 + least * (side + 1) + most))
+            for i in range(least):
+                key = mix(key * _C + before[:, i])
+            for i in range(side - most):
+                key = mix(key * _C + after[:, i])
+            bounds = [pa.array(np.full(batch.num_rows, x, np.int32)) for x in (least, most)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *bounds, pa.array(key.view(np.int64))], [*batch.schema.names, "least", "most", "key"]).filter(pa.array(fits))
+
+    schema = f"prefix bigint, doc_id {type_of(rows)}, text_hash bigint, pos int, before binary, after binary, least int, most int, key bigint"
+    return rows.mapInArrow(released(run), schema)
+
+
+def repeats(marked: DataFrame, docs: DataFrame, min_words: int = MIN_WORDS, prefix: int = PREFIX, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Merged repeats of the documents, from their marked suffixes (doc_id, text_hash, pos, n), n being the number of suffixes with this prefix."""
+    side, schema = min_words - prefix, _span_schema(docs)
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, 0, BATCH_ROWS):
             t = t.combine_chunks()
-            yield _spans(*subtree(*(t[c].to_numpy() for c in ("prefix", "doc_id", "pos")), _matrix(t["before"], 4 * side), _matrix(t["after"], 4 * side), min_words, prefix))
+            yield from _trees(t, t["prefix"].to_numpy(), side, min_words, prefix)
 
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, doc, pos = (batch.column(i).to_numpy() for i in range(3))
-            before, after = (_matrix(batch.column(i), 4 * side).astype(np.uint64) for i in (3, 4))
-            right = np.zeros((batch.num_rows, side + 1), np.uint64)
-            right[:, 0] = own.view(np.uint64)
-            for i in range(side):
-                right[:, i + 1] = mix(right[:, i] * _C + after[:, i])
-            h = np.zeros(batch.num_rows, np.uint64)
-            for o in range(side + 1):
-                if o:
-                    h = mix(h * _C + before[:, o - 1])
-                d = min_words - o
-                fits = ((before[:, :o] != 0).all(1)) & ((after[:, : d - prefix] != 0).all(1))
-                keys = mix(right[:, d - prefix] ^ mix(h + np.uint64(o)))[fits]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(doc[fits]), pa.array((pos[fits] - o).astype(np.int32))], ["passage", "doc_id", "start_word"])
+    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, 0, BATCH_ROWS):
+            least, most = (t[c].to_numpy() for c in ("least", "most"))
+            for a, b in np.unique(np.stack([least, most], 1), axis=0).tolist():
+                own = t.filter(pa.array((least == a) & (most == b))).combine_chunks()
+                yield from _trees(own, own["key"].to_numpy(), side, min_words, prefix, a, b)
 
     cold, hot = marked.where(F.col("n") <= group_rows), marked.where(F.col("n") > group_rows)
-    found = surroundings(cold, docs, min_words, prefix).repartition("prefix").sortWithinPartitions("prefix").mapInArrow(trees, SPAN)
-    if not hot.isEmpty():
-        each = surroundings(hot, docs, min_words, prefix).mapInArrow(passages, "passage bigint, doc_id bigint, start_word int").distinct()
-        most = each.groupBy("passage").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "start_word")).alias("one")).where("copies > 1")
-        end = (F.col("start_word") + min_words).alias("end_word")
-        first = F.col("one") == F.struct("doc_id", "start_word")
-        found = found.unionByName(
-            each.join(most, "passage").select("doc_id", "start_word", end, F.when(first, F.col("start_word") + min_words).otherwise(F.col("start_word")).alias("later_start"), (F.col("start_word") + min_words).alias("later_end"), F.col("copies").cast("int").alias("copies"))
-        )
+    found = surroundings(cold, docs, min_words, prefix).repartition("prefix").sortWithinPartitions("prefix").mapInArrow(released(short), schema)
+    if hot.isEmpty():
+        return merged(found)
+    shared = Shared(docs.sparkSession)
+    rows, _ = shared.write(surroundings(hot, docs, min_words, prefix).distinct())
+    families = [(rows, 0, side)]
+    while families:
+        halves = [x for rows, a, b in families for x in ((rows, a, (a + b) // 2), (rows, (a + b) // 2 + 1, b)) if x[1] <= x[2]]
+        each = None
+        for own, a, b in halves:
+            part = refined(own, a, b, min_words, prefix)
+            each = part if each is None else each.unionByName(part)
+        each, _ = shared.write(each)
+        counts = each.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("first")).where("n > 1")
+        each = each.join(counts, "key")
+        trees = each.where(F.col("n") <= group_rows).select("key", "least", "most", "doc_id", "text_hash", "pos", "before", "after")
+        found = found.unionByName(trees.repartition("key").sortWithinPartitions("key").mapInArrow(released(longer), schema))
+        large, _ = shared.write(each.where(F.col("n") > group_rows))
+        node, begin = large.where("least = most"), F.col("pos") - F.col("least")
+        end = begin + min_words
+        later = F.when(F.col("first") == F.struct("doc_id", "text_hash", "pos"), end).otherwise(begin)
+        found = found.unionByName(node.select("doc_id", "text_hash", begin.alias("start_word"), end.alias("end_word"), later.alias("later_start"), end.alias("later_end"), F.col("n").cast("int").alias("copies")))
+        bounds = [(r["least"], r["most"]) for r in large.where("least < most").select("least", "most").distinct().collect()]
+        families = [(large.where((F.col("least") == a) & (F.col("most") == b)).select(*rows.columns), a, b) for a, b in sorted(bounds)]
     return merged(found)
 
 
@@ -213,9 +275,9 @@ def merged(found: DataFrame) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, later_words, copies): spans that overlap or touch as one, how many of its words lie in later copies, and the most copies of a passage in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, 0, BATCH_ROWS):
-            doc, s, e, ls, le, copies = (t[c].to_numpy().astype(np.int64) for c in ("doc_id", "start_word", "end_word", "later_start", "later_end", "copies"))
-            which = np.cumsum(np.concatenate([[False], doc[1:] != doc[:-1]])) << 34
+        for t in grouped(batches, 0, BATCH_ROWS, 1):
+            s, e, ls, le, copies = (t[c].to_numpy().astype(np.int64) for c in NUMBERS)
+            which = _ranks(t) << 34
             s, e, ls, le = s + which, e + which, ls + which, le + which
             o = np.argsort(s, kind="stable")
             reach = np.maximum.accumulate(e[o])
@@ -227,18 +289,18 @@ def merged(found: DataFrame) -> DataFrame:
             seen = np.concatenate([[0], np.maximum.accumulate(le[p])[:-1]])
             extra = np.maximum(0, le[p] - np.maximum(ls[p], seen))
             later = np.bincount(np.searchsorted(start, ls[p], "right") - 1, weights=extra, minlength=len(at))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[o][at]), *(pa.array(x.astype(np.int32)) for x in (start & ((1 << 34) - 1), end & ((1 << 34) - 1), end - start, later, most))], ["doc_id", "start_word", "end_word", "n_words", "later_words", "copies"]
-            )
+            ids = t["doc_id"].combine_chunks().take(pa.array(o[at]))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x.astype(np.int32)) for x in (start & ((1 << 34) - 1), end & ((1 << 34) - 1), end - start, later, most))], ["doc_id", "start_word", "end_word", "n_words", "later_words", "copies"])
 
-    return found.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, "doc_id bigint, start_word int, end_word int, n_words int, later_words int, copies int")
+    out = f"doc_id {type_of(found)}, start_word int, end_word int, n_words int, later_words int, copies int"
+    return found.repartition("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash").mapInArrow(released(run), out)
 
 
 def marks(suffixes: DataFrame) -> DataFrame:
-    """(doc_id, pos, n) of the suffixes whose prefix has more than one, n being their number.
+    """(doc_id, text_hash, pos, n) of the suffixes whose prefix has more than one, n being their number.
 
     Counted with partial sums and joined back, so that a prefix of very many suffixes is no task of its own: a skewed join is
     split at run time. The suffixes are read twice and should be a written table.
     """
     counts = suffixes.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1")
-    return suffixes.join(counts, "prefix").select("doc_id", "pos", "n")
+    return suffixes.join(counts, "prefix").select("doc_id", "text_hash", "pos", "n")

@@ -11,13 +11,15 @@ from lexigrove.llm.common import Shared
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = spans.MIN_WORDS, group_rows: int = spans.GROUP_ROWS) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, later_words, copies) of every maximal span all of whose runs of min_words words occur elsewhere.
 
-    Suffixes are split by the words they begin with: by PREFIX words where that makes groups that fit in memory, by all
-    min_words where it doesn't. In each group's suffix tree the internal nodes that are deep enough, counting the words that
-    all copies have before them, are the maximal repeats. Overlapping repeats of a document come out as one span;
-    ``later_words`` counts its words that some copy earlier in the order of (doc_id, word) has too, those to remove.
+    Suffixes are split by the words they begin with: by PREFIX words, and by longer and longer prefixes, up to min_words,
+    where a group has more than group_rows suffixes. In each group's suffix tree the internal nodes that are deep enough,
+    counting the words that all copies have before them, are the maximal repeats. Overlapping repeats of a document come out
+    as one span; ``later_words`` counts its words that some copy earlier in the order of (doc_id, text_hash, word) has too,
+    those to remove.
 
     Rows without id or text and texts of fewer than min_words words have no spans, nor has an empty table. Equal rows count
-    once: rows with one id are one document. Columns other than the two are not read, so their names don't matter.
+    once; different texts under one id are documents of their own, whose spans all have this id. Ids keep their type, which
+    can be any that has an order. Columns other than the two are not read, so their names don't matter.
     """
     shared = Shared(docs.sparkSession)
     rows, prefix = spans.known(docs, key, text), spans.prefix_words(min_words)

@@ -45,6 +45,35 @@ def test_prefixes_of_groups_too_large_for_memory(spark):
     same(suffixtree.repeated_passages(documents(spark, texts), min_words=8, group_rows=5), repeats(texts, 8))
 
 
+@pytest.mark.parametrize("min_words,group_rows", [(50, 3), (50, 10), (20, 1), (8, 2)])
+def test_prefixes_as_long_as_it_takes(spark, min_words, group_rows):
+    """A passage that is hot and has anything before it, nearly equal ones, and ones that repeat themselves, split down to single nodes."""
+    rng = random.Random(min_words)
+    hot = [f"h{i}" for i in range(70)]
+    texts = []
+    for k in range(40):
+        t = [f"o{rng.randrange(50)}" for _ in range(rng.randrange(60))]
+        own = list(hot)
+        if k % 3 == 0:
+            own[rng.randrange(70)] = f"changed{k}"
+        at = rng.randrange(len(t) + 1)
+        t[at:at] = own[rng.randrange(10) :] if k % 2 else own
+        texts.append((k, " ".join(t)))
+    texts += [(100 + k, " ".join(["again and"] * (30 + k % 3))) for k in range(9)]
+    same(suffixtree.repeated_passages(documents(spark, texts), min_words=min_words, group_rows=group_rows), repeats(texts, min_words))
+
+
+@pytest.mark.parametrize("passages", BOTH)
+def test_ids_of_other_types_and_texts_of_one_id(spark, passages):
+    t = " ".join(f"v{i}" for i in range(12))
+    rows = [("b", t), ("a", "x " + t), ("c", t + " y"), ("c", "nothing of this"), ("c", "nothing of this")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    same(passages(df, min_words=8), [("a", 1, 13, 12, 0, 3), ("b", 0, 12, 12, 12, 3), ("c", 0, 12, 12, 12, 3)])
+    for kind in ("binary", "string"):
+        two = spark.createDataFrame([("d", t + " p"), ("d", t + " q")], "doc_id string, text string").selectExpr(f"cast(doc_id as {kind}) as doc_id", "text")
+        assert sorted((r["start_word"], r["end_word"], r["later_words"], r["copies"]) for r in passages(two, min_words=8).collect()) == [(0, 12, 0, 2), (0, 12, 12, 2)]
+
+
 @pytest.mark.parametrize("n_batches", [1, 2, 3, 7])
 def test_levels_of_any_number_of_batches(spark, n_batches):
     texts = corpus(4)
