@@ -22,12 +22,18 @@ MOST_TERMS = 20_000
 IN_VALUES = 10
 
 
+def _one_of(terms: Iterable[str]) -> str:
+    """Whether the term is one of these, as SQL: one call, however many there are."""
+    quoted = (t.replace("\\", "\\\\").replace("'", "\\'") for t in terms)
+    return "term IN (" + ", ".join(f"'{t}'" for t in quoted) + ")"
+
+
 def _possible(token: Token, config: IndexConfig) -> Column:
     """What a matching term must look like: no matching term is left out, and few others get through.
 
     A swap of neighbours is two plain edits, so plain edits up to twice the allowed typos bound the distance.
     """
-    out = F.col("term").isin([token.term, *token.stems])
+    out = F.expr(_one_of([token.term, *token.stems]))
     if token.phrase is not None:
         return out
     k, n, term = config.typo.allowed(token.term), len(token.term), F.lit(token.term)
@@ -91,10 +97,10 @@ def known_matches(vocab: DataFrame, tokens: Iterable[Token], config: IndexConfig
 
 def having_terms(postings: DataFrame, terms: list[str]) -> DataFrame:
     """The postings of the terms, by filters that reach the scan in groups small enough to be compared with a row group's statistics."""
-    wanted = F.lit(False)
-    for i in range(0, len(terms), IN_VALUES) if len(terms) <= 20 * IN_VALUES else ():
-        wanted = wanted | F.col("term").isin(terms[i : i + IN_VALUES])
-    return postings.where(wanted if len(terms) <= 20 * IN_VALUES else F.col("term").isin(terms))
+    if not terms:
+        return postings.where("false")
+    size = IN_VALUES if len(terms) <= 20 * IN_VALUES else len(terms)
+    return postings.where(" OR ".join(_one_of(terms[i : i + size]) for i in range(0, len(terms), size)))
 
 
 def hits(postings: DataFrame, matches: DataFrame, tokens: Iterable[Token], attributes: Iterable[int] | None = None) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 from lexigrove.config import RULE_DECAY, IndexConfig
 from lexigrove.operators.postings import ATTRIBUTE_STEP
 from lexigrove.plans.query import Query
 
 DECAY = 0.1
+#: Scores by the number of tokens and what they depend on of the settings.
+_SCORES: dict[tuple, Column] = {}
+MOST_SCORES = 64
 
 
 def _count(flags: list[Column]) -> Column:
@@ -88,7 +91,20 @@ def rule(name: str, query: Query, config: IndexConfig) -> Column:
 
 
 def score(query: Query, config: IndexConfig) -> Column:
-    """The weighted mean of the configured rules, in their order; each weighs RULE_DECAY of the one before."""
+    """The weighted mean of the configured rules, in their order; each weighs RULE_DECAY of the one before.
+
+    It names the tokens by their places only, so that it is built once for all queries of as many tokens.
+    """
+    session = SparkSession.getActiveSession()
+    key = id(session._jvm) if session else 0, len(query.tokens), config.ranking_rules, tuple(config.attribute_weights().values())
+    if key not in _SCORES:
+        if len(_SCORES) >= MOST_SCORES:
+            _SCORES.clear()
+        _SCORES[key] = _score(query, config)
+    return _SCORES[key]
+
+
+def _score(query: Query, config: IndexConfig) -> Column:
     total, weights = F.lit(0.0), 0.0
     for i, name in enumerate(config.ranking_rules):
         total, weights = total + rule(name, query, config) * (RULE_DECAY**i), weights + RULE_DECAY**i

@@ -157,7 +157,7 @@ def test_scores(spark):
         3: mean(0.5, 1, 1, 0.8, 0.5),
         4: mean(1, 1, 0.5, 0.8, 1),
     }
-    assert ids(r) == [1, 4, 2, 3] or ids(r) == sorted(got, key=lambda i: -got[i])
+    assert ids(r) == [1, 4, 2, 3]
     assert set(ids(index.search(SearchParams(query="aa bb", score_threshold=0.9)))) == {i for i in got if got[i] >= 0.9}
 
 
@@ -172,11 +172,11 @@ def test_single_rules(spark):
 
 def test_geo(spark):
     index = SearchIndex(spark, IndexConfig(filterable=("place",), sortable=("place",)))
-    index.add([{"id": "a", "place": {"lat": 51.5074, "lng": -0.1278}}, {"id": "b", "place": {"lat": 48.2082, "lng": 16.3738}}, {"id": "c", "place": {"lat": -33.86, "lng": 151.2}}, {"id": "d"}])
+    index.add([{"id": "a", "place": {"lat": 51.5, "lng": -0.12}}, {"id": "b", "place": {"lat": 47.5, "lng": 19.05}}, {"id": "c", "place": {"lat": -33.86, "lng": 151.2}}, {"id": "d"}])
     near = SearchParams(filter="_geoRadius(place, 52.52, 13.405, 950000)", sort=("_geoPoint(place, 52.52, 13.405):asc",))
     r = index.search(near)
     assert ids(r) == ["b", "a"]
-    assert [h["_geoDistance(place)"] for h in r.hits] == [523546, 931571]
+    assert [h["_geoDistance(place)"] for h in r.hits] == [688248, 931218]
     assert ids(index.search(SearchParams(filter="_geoBoundingBox(place, 55, 20, 40, -7)"))) == ["a", "b"]
     assert ids(index.search(SearchParams(filter="_geoBoundingBox(place, 55, -7, 40, 20)"))) == []
     assert ids(index.search(SearchParams(filter="_geoRadius(place, -33, 151, 200000)"))) == ["c"]
@@ -223,7 +223,8 @@ def test_formatting(spark):
     index = SearchIndex(spark, IndexConfig(searchable=("text", "tags"), stop_words=("the", "of")))
     index.add([{"id": 1, "text": "Die Gassen sind groß; keeper of the lighthouse.", "tags": ["alte Gasse", "neu"]}])
     hit = index.search(SearchParams(query="grosse gasse keeper lighthouse", highlight=("text", "tags"), show_positions=True)).hits[0]
-    assert hit["_formatted"]["text"] == "Die <em>Gassen</em> sind <em>groß</em>; <em>keeper of the lighthouse</em>." or hit["_formatted"]["text"] == "Die <em>Gassen</em> sind <em>groß; keeper of the lighthouse</em>."
+    # signs and stop words don't part what is highlighted
+    assert hit["_formatted"]["text"] == "Die <em>Gassen</em> sind <em>groß; keeper of the lighthouse</em>."
     assert hit["_formatted"]["tags"] == ["alte <em>Gasse</em>", "neu"]
     assert hit["_matchesPosition"]["tags"] == {0: [{"start": 5, "length": 5}]}
     assert hit["_matchesPosition"]["text"][0] == {"start": 4, "length": 6}
@@ -233,4 +234,5 @@ def test_stems_and_compounds(spark):
     index = SearchIndex(spark, IndexConfig(searchable=("text",), languages=("de",)))
     index.add([{"id": 1, "text": "Die Gartenzwerge am Haus"}, {"id": 2, "text": "Garten und Zwerge"}, {"id": 3, "text": "Ofen"}])
     assert sorted(ids(index.search(SearchParams(query='"garten"')))) == [1, 2]
-    assert sorted(ids(index.search(SearchParams(query='"zwerg"')))) == [1, 2] or sorted(ids(index.search(SearchParams(query="zwerg")))) == [1, 2]
+    assert sorted(ids(index.search(SearchParams(query="zwerg")))) == [1, 2]
+    assert sorted(ids(index.search(SearchParams(query='"zwerg"')))) == [2]  # the stem of a word, not that of a compound's part
