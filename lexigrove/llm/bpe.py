@@ -125,15 +125,13 @@ def encode(df: DataFrame, path: str | None = None, key: str = "doc_id", text: st
     """(key, n_tokens, tokens[, round_trip]) of every row, as many rows as df has.
 
     A null text has null tokens, a null count and a null round_trip, and an empty one no tokens. Null and repeated keys are
-    kept as they are; other columns, whatever their names, are not read. ``round_trip`` says whether the decoded tokens are
-    the text byte by byte.
+    kept as they are; other columns, whatever their names, are not read. A new column gets underscores appended while the key
+    has its name. ``round_trip`` says whether the decoded tokens are the text byte by byte.
     """
     path = path or vocabulary_path()
-    if key == "text":
-        raise ValueError("the key needs another name than text")
     kind = df.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_tokens bigint, tokens array<int>" + ", round_trip boolean" * verify
-    rows = df.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("text"))
+    schema = f"key {kind}, n_tokens bigint, tokens array<int>" + ", round_trip boolean" * verify
+    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     is_long = F.coalesce(F.length("text") > long_chars, F.lit(False))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +145,7 @@ def encode(df: DataFrame, path: str | None = None, key: str = "doc_id", text: st
                 if verify:
                     same = c.decode(np.concatenate([x for x in ids if x is not None] or [np.zeros(0, np.int32)])) == data
                     ok = [None if x is None else same or bytes(c.decode(x)) == data[offsets[i] : offsets[i + 1]] for i, x in enumerate(ids)]
-                yield _result(ids, batch.column(0).slice(a, b - a), key, ok)
+                yield _result(ids, batch.column(0).slice(a, b - a), "key", ok)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +155,7 @@ def encode(df: DataFrame, path: str | None = None, key: str = "doc_id", text: st
                 parts = [data[s:e].decode("utf-8") for s, e in zip(starts, [*starts[1:], len(data)])]
                 n = len(parts)
                 own = [batch.column(i).slice(a, 1).take(pa.array(np.zeros(n, np.int64))) for i in (0, 2)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(starts, pa.int64()), pa.array(parts, pa.string())], [key, "text_hash", "leaf", "text"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(starts, pa.int64()), pa.array(parts, pa.string())], ["key", "text_hash", "leaf", "text"])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -175,20 +173,28 @@ def encode(df: DataFrame, path: str | None = None, key: str = "doc_id", text: st
         data = "".join(one["text"].to_pylist()).encode()
         ids = c.concatenate(data, [(np.asarray(t, np.int32), int(s)) for t, s in zip(one["tokens"].to_pylist(), one["leaf"].to_pylist())])
         ok = [bytes(c.decode(ids)) == data] * copies if verify else None
-        return pa.Table.from_batches([_result([ids] * copies, group[key].combine_chunks().slice(0, copies), key, ok)])
+        return pa.Table.from_batches([_result([ids] * copies, group["key"].combine_chunks().slice(0, copies), "key", ok)])
 
     parts = (
         rows.where(is_long)
         .withColumn("text_hash", F.sha2("text", 256))
-        .mapInArrow(released(split), f"`{key}` {kind}, text_hash string, leaf bigint, text string")
+        .mapInArrow(released(split), f"key {kind}, text_hash string, leaf bigint, text string")
         .repartition(F.xxhash64("text_hash", "leaf"))
-        .mapInArrow(released(leaves), f"`{key}` {kind}, text_hash string, leaf bigint, text string, tokens array<int>")
+        .mapInArrow(released(leaves), f"key {kind}, text_hash string, leaf bigint, text string, tokens array<int>")
     )
-    return rows.where(~is_long).mapInArrow(released(short), schema).unionByName(parts.groupBy(key, "text_hash").applyInArrow(concatenate, schema))
+    out = rows.where(~is_long).mapInArrow(released(short), schema).unionByName(parts.groupBy("key", "text_hash").applyInArrow(concatenate, schema))
+    return out.toDF(key, *(_beside(key, c) for c in out.columns[1:]))
+
+
+def _beside(key: str, name: str) -> str:
+    """The name, with underscores appended while the key has it."""
+    while name.lower() == key.lower():
+        name += "_"
+    return name
 
 
 def decode(df: DataFrame, path: str | None = None, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
-    """(key, text) of every row with tokens. Null tokens give a null text, none an empty one; bytes that are not UTF-8 become U+FFFD. Ids outside of the vocabulary raise an error."""
+    """(key, text) of every row with tokens. Null tokens give a null text, none an empty one; bytes that are not UTF-8 become U+FFFD. Ids outside of the vocabulary raise an error. ``text`` gets underscores appended while the key has that name."""
     path = path or vocabulary_path()
     kind = df.schema[key].dataType.simpleString()
 
@@ -197,6 +203,7 @@ def decode(df: DataFrame, path: str | None = None, key: str = "doc_id", tokens:
         for batch in batches:
             lists = batch.column(1)
             texts = [None if not x.is_valid else bytes(c.decode(x.values.to_numpy(zero_copy_only=False))).decode("utf-8", "replace") for x in lists]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [key, "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["key", "text"])
 
-    return df.select(F.col(f"`{key}`"), F.col(f"`{tokens}`").cast("array<int>")).mapInArrow(released(run), f"`{key}` {kind}, text string")
+    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{tokens}`").cast("array<int>").alias("tokens"))
+    return rows.mapInArrow(released(run), f"key {kind}, text string").toDF(key, _beside(key, "text"))

@@ -92,3 +92,22 @@ def test_query(spark, codec):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     got = {r["doc_id"]: (r["n_tokens"], r["tokens"], r["round_trip"]) for r in op1_bpe(spark, SF).collect()}
     assert got == {i: (len(x := codec.encode(t)), x.tolist(), True) for i, t in docs}
+
+
+@pytest.mark.parametrize("key", ["tokens", "n_tokens", "text", "TEXT_HASH", "leaf", "key", "round_trip"])
+def test_keys_with_the_names_of_new_columns(spark, key):
+    long = "a long text, " * 9
+    df = spark.createDataFrame([("k1", "short"), ("k2", long)], f"`{key}` string, body string")
+    out = bpe.encode(df, key=key, text="body", verify=True, long_chars=20, leaf_bytes=16)
+    assert len({c.lower() for c in out.columns}) == 4 and out.columns[0] == key
+    name = out.columns[2]
+    back = bpe.decode(out, key=key, tokens=name)
+    assert sorted(tuple(r) for r in back.collect()) == [("k1", "short"), ("k2", long)] and back.columns == [key, "text_" if key == "text" else "text"]
+
+
+def test_a_text_over_the_default_threshold(spark):
+    """70,000 characters, of several bytes each at places, as a tree and whole."""
+    text = ("word über 12 字 " * 6_000)[:70_000]
+    got = bpe.encode(documents(spark, [(1, text), (2, text + "x")]), verify=True).collect()
+    c = bpe.codec(bpe.vocabulary_path())
+    assert {r["doc_id"]: r["tokens"] for r in got} == {1: c.encode(text).tolist(), 2: c.encode(text + "x").tolist()} and all(r["round_trip"] for r in got)
