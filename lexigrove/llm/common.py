@@ -7,9 +7,11 @@ and memory stays a small multiple of ``CHUNK`` whatever the length of a text.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import functools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -198,6 +200,15 @@ def winnow(h: np.ndarray, first: np.ndarray, k: int, w: int) -> tuple[np.ndarray
     return at, grams[at]
 
 
+def portions(sizes: np.ndarray, total: int) -> Iterator[tuple[int, int]]:
+    """Ranges of successive sizes that come to about the total."""
+    sums, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(sums, (sums[a - 1] if a else 0) + total, "right")))
+        yield a, b
+        a = b
+
+
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The function of a task, which at its end gives freed memory back to the system: a worker waits for its next task with what it has."""
 
@@ -227,7 +238,9 @@ def shared_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexigrove-"))
+        own = tempfile.mkdtemp(prefix="lexigrove-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
@@ -242,9 +255,16 @@ class Shared:
         self.spark, self.root = spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
         self.count = 0
 
+    def only(self, *paths: str) -> None:
+        """Deletes all tables but these."""
+        for path in (f"{self.root}/{i}" for i in range(1, self.count + 1)):
+            if path not in paths:
+                self.drop(path)
+
     def small(self, df: DataFrame) -> DataFrame:
-        """The rows as a written table, to be broadcast in joins if its measured size allows that."""
+        """The rows as a written table, to be broadcast in joins if its measured size allows that. Of the tables written before, none is needed any more."""
         out, path = self.write(df)
+        self.only(path)
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         size = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from lexigrove.llm.common import Shared, Windows, expand, known, released, text_slices, tokens, type_of
+from lexigrove.llm.common import Shared, Windows, expand, known, portions, released, text_slices, tokens, type_of
 
 #: Words in a row that make a document a copy of a test; an item of fewer words must be there as a whole.
 MIN_WORDS = 13
@@ -200,14 +200,14 @@ class Tests:
         count = -(-(hi - lo) // PAIRS)  # long ranges in pieces
         piece, which = expand(count), np.repeat(which, count)
         lo, hi = np.repeat(lo, count) + piece * PAIRS, np.minimum(np.repeat(hi, count), np.repeat(lo, count) + (piece + 1) * PAIRS)
-        for a, b in _portions(run[hi - 1] - run[lo] + 1):
+        for a, b in portions(run[hi - 1] - run[lo] + 1, PAIRS):
             many = run[hi[a:b] - 1] - run[lo[a:b]] + 1
             own = np.repeat(np.arange(a, b), many)
             runs = np.repeat(run[lo[a:b]], many) + expand(many)
             differ = before[begins[runs]] != self.before[which[own]]
             own, runs = own[differ], runs[differ]
             start, end = np.maximum(begins[runs], lo[own]), np.minimum(begins[runs + 1], hi[own])
-            for c, d in _portions(end - start):
+            for c, d in portions(end - start, PAIRS):
                 many = (end - start)[c:d]
                 yield which[np.repeat(own[c:d], many)], array.order[np.repeat(start[c:d], many) + expand(many)]
 
@@ -224,15 +224,6 @@ class Tests:
             high[open_[~equal]] = mid[~equal] - 1
 
 
-def _portions(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of successive sizes that come to about PAIRS."""
-    total, a = np.cumsum(sizes), 0
-    while a < len(sizes):
-        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS, "right")))
-        yield a, b
-        a = b
-
-
 def _longest(row: np.ndarray, item: np.ndarray, length: np.ndarray, dpos: np.ndarray, ipos: np.ndarray) -> tuple[np.ndarray, ...]:
     """Per row and item the longest, of these the first in the row and then in the item."""
     o = np.lexsort((ipos, dpos, -length, item, row))
@@ -319,13 +310,14 @@ def _found(rows: DataFrame, benchmark: DataFrame, key: str, text: str, min_words
     if parts == 1:
         return _searched(rows, *_tests(items, 0, 1, min_words), schema)
     shared, out = Shared(rows.sparkSession), None
-    left, _ = shared.write(_candidates(rows, items, min_words))
+    left, path = shared.write(_candidates(rows, items, min_words))
     for part in range(parts):
         tests, ids = _tests(items, part, parts, min_words)
         if len(ids):
             found, _ = shared.write(_searched(left, tests, ids, schema))
             out = found if out is None else out.unionByName(found)
         tests.destroy()
+    shared.drop(path)
     return out
 
 

@@ -109,7 +109,7 @@ def _up_to(column: Column):
 
 
 def coordinates(df: DataFrame, dimensions: list[str], bits: int, shared: Shared) -> list[Column]:
-    """A coordinate in 0 .. 2**bits - 1 of each dimension: the share of rows with a lesser value, in as many steps. Dimensions can be of any type that has an order; nulls have coordinate 0."""
+    """A coordinate in 0 .. 2**bits - 1 of each dimension: the share of rows with a lesser value, in as many steps. Dimensions can be of any type that has an order; nulls have coordinate 0. Tables that ``shared`` has are deleted."""
     out, cells = [], 1 << bits
     for c in dimensions:
         column, kind = F.col(f"`{c}`"), df.schema[c].dataType
@@ -121,6 +121,7 @@ def coordinates(df: DataFrame, dimensions: list[str], bits: int, shared: Shared)
         least = F.array(*(F.lit(r["least"]).cast(kind) for r in steps))
         reached = F.size(F.filter(least, _up_to(column)))
         out.append(F.coalesce(F.when(column.isNotNull(), F.get(F.lit([r["at"] for r in steps]).cast("array<int>"), reached - 1)), F.lit(0)))
+    shared.only()
     return out
 
 

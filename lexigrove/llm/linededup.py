@@ -38,16 +38,16 @@ def fingerprints(rows: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     return rows.mapInArrow(released(run), f"fingerprint bigint, doc_id {type_of(rows)}, text_hash bigint, runs array<struct<run: bigint, line: int>>")
 
 
-def later_runs(rows: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def later_runs(rows: DataFrame, shared: Shared, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """(doc_id, text_hash, ranges): per document the ranges (start, end) of its lines that lie in a run of lines which occurs earlier in the order of (doc_id, text_hash, line).
 
     The first place of a run is a partial minimum that is joined back, so that a run which very many documents share is no
     task of its own: a skewed join is split at run time.
     """
     length = gram + window - 1
-    prints, _ = Shared(rows.sparkSession).write(fingerprints(rows, gram, window))
-    shared = prints.groupBy("fingerprint").count().where("count > 1").select("fingerprint")
-    runs = prints.join(shared, "fingerprint", "left_semi").select("doc_id", "text_hash", F.inline("runs"))
+    prints, _ = shared.write(fingerprints(rows, gram, window))
+    several = prints.groupBy("fingerprint").count().where("count > 1").select("fingerprint")
+    runs = prints.join(several, "fingerprint", "left_semi").select("doc_id", "text_hash", F.inline("runs"))
     place = F.struct("doc_id", "text_hash", "line")
     first = runs.groupBy("run").agg(F.min(place).alias("first"))
     later = runs.join(first, "run").where(place != F.col("first")).select("doc_id", "text_hash", "line")
@@ -72,7 +72,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", gram:
     The texts themselves are shuffled only if the ranges to delete are too large a table to be broadcast.
     """
     count = fresh(docs, "deleted_lines")
-    found = Shared(docs.sparkSession).small(later_runs(known(docs, key, text), gram, window))
+    shared = Shared(docs.sparkSession)
+    found = shared.small(later_runs(known(docs, key, text), shared, gram, window))
     joined, own, ranges = docs.join(found, same_document(docs, key, text, found), "left"), docs[f"`{text}`"], found["ranges"]
     lines = F.regexp_extract_all(own, F.lit(LINE), F.lit(0))
     kept = F.filter(lines, lambda _, i: ~F.exists(ranges, lambda r: (i >= r["start"]) & (i < r["end"])))

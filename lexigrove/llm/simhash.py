@@ -15,13 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexigrove.llm.common import FOLD, NOT_ALNUM, Shared, expand, known, mix, released, same_document, text_slices, tokens, type_of
+from lexigrove.llm.common import FOLD, NOT_ALNUM, Shared, expand, known, mix, portions, released, same_document, text_slices, tokens, type_of
 from lexigrove.llm.spans import grouped
 
 RADIUS = 20
 BITS = 128
-#: Fingerprints whose shards' trees are built and searched at a time, at least, and (query, node) pairs followed at a time.
-BATCH_ROWS, FRONTIER = 100_000, 400_000
+#: Fingerprints whose shards' trees are built and searched at a time, at least, and pairs of them.
+BATCH_ROWS, PAIRS = 100_000, 1 << 20
+#: Fingerprints of a node without children, at most; of shards that are compared pair by pair, many at a time.
+BUCKET, FEW = 4_096, 64
 
 
 def simhash(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,48 +69,49 @@ def distance(ah: np.ndarray, al: np.ndarray, bh: np.ndarray, bl: np.ndarray) ->
 
 
 class Trees:
-    """BK-trees of several shards at once, built level by level; fingerprints of a shard are adjacent, and its first one is the root."""
+    """BK-trees of several shards; fingerprints of a shard are adjacent.
+
+    A node's children are keyed by their distance to its first fingerprint. Nodes of up to BUCKET fingerprints have no children:
+    they are compared with what comes to them as a whole, which costs a small part of following an edge to each.
+    """
 
     def __init__(self, shard: np.ndarray, hi: np.ndarray, lo: np.ndarray):
-        self.hi, self.lo, n = hi, lo, len(shard)
-        new = np.concatenate([[True], shard[1:] != shard[:-1]]) if n else np.zeros(0, bool)
-        self.root = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        self.parent, self.edge = np.full(n, -1), np.zeros(n, np.int64)
-        at, waiting = self.root[~new], np.flatnonzero(~new)  # the node that each waiting one has come to
-        while len(waiting):
-            d = distance(hi[waiting], lo[waiting], hi[at], lo[at])
-            slot = at * (BITS + 1) + d
-            order = np.argsort(slot, kind="stable")
-            lead = np.concatenate([[True], slot[order][1:] != slot[order][:-1]])
-            child = waiting[order][np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
-            placed = waiting[order][lead]
-            self.parent[placed], self.edge[placed] = at[order][lead], d[order][lead]
-            waiting, at = waiting[order][~lead], child[~lead]
-        self.children = np.flatnonzero(self.parent >= 0)
-        slots = self.parent[self.children] * (BITS + 1) + self.edge[self.children]
-        order = np.argsort(slots, kind="stable")
-        self.children, self.slots = self.children[order], slots[order]
-
-    def search(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (query, earlier node of its tree) within the radius."""
-        stack = [(queries, self.root[queries])]
-        while stack:
-            q, node = stack.pop()
-            if len(q) > FRONTIER:
-                stack += [(q[FRONTIER:], node[FRONTIER:])]
-                q, node = q[:FRONTIER], node[:FRONTIER]
-            d = distance(self.hi[q], self.lo[q], self.hi[node], self.lo[node])
-            near = (d <= radius) & (node < q)
-            if near.any():
-                yield q[near], node[near]
-            a = np.searchsorted(self.slots, node * (BITS + 1) + np.maximum(d - radius, 0), "left")
-            b = np.searchsorted(self.slots, node * (BITS + 1) + np.minimum(d + radius, BITS), "right")
-            many = b - a
-            q, node = np.repeat(q, many), self.children[np.repeat(a, many) + expand(many)]
-            early = node < q  # what is below a node is later than it
-            q, node = q[early], node[early]
-            if len(q):
-                stack.append((q, node))
+        self.hi, self.lo = hi, lo
+        self.first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
+        self.size = np.diff(np.append(self.first, len(shard)))
+
+    def search(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (fingerprint, earlier one of its shard) within the radius."""
+        small = self.size <= FEW
+        rows = np.repeat(self.first[small], self.size[small])
+        nth = expand(self.size[small])
+        for a, b in portions(nth, PAIRS):  # each with all before it
+            q = np.repeat(rows[a:b] + nth[a:b], nth[a:b])
+            node = np.repeat(rows[a:b], nth[a:b]) + expand(nth[a:b])
+            near = distance(self.hi[q], self.lo[q], self.hi[node], self.lo[node]) <= radius
+            yield q[near], node[near]
+        for a, n in zip(self.first[~small].tolist(), self.size[~small].tolist()):
+            own = np.arange(a, a + n)
+            yield from self._visit(own, own, radius)
+
+    def _visit(self, queries: np.ndarray, members: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        queries = queries[queries > members[0]]  # both are in order
+        if not len(queries):
+            return
+        if len(members) <= BUCKET:
+            step = max(1, PAIRS // (2 * len(members)))
+            for i in range(0, len(queries), step):
+                q = queries[i : i + step]
+                m = members[: np.searchsorted(members, q[-1])]
+                d = np.bitwise_count(self.hi[q, None] ^ self.hi[m]) + np.bitwise_count(self.lo[q, None] ^ self.lo[m])
+                x, y = np.nonzero(d <= radius)
+                earlier = m[y] < q[x]
+                yield q[x[earlier]], m[y[earlier]]
+            return
+        pivot = members[:1]
+        edges, far = (distance(self.hi[x], self.lo[x], self.hi[pivot], self.lo[pivot]) for x in (members, queries))
+        for edge in np.unique(edges):
+            yield from self._visit(queries[np.abs(far - edge) <= radius], members[edges == edge], radius)
 
 
 def least_labels(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -163,7 +166,7 @@ def near_edges(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
             first = np.concatenate([[True], shard[1:] != shard[:-1]])
             crowd = np.flatnonzero(~(first & np.concatenate([first[1:], [True]])))
             shard, node, hi, lo = (x[crowd] for x in (shard, node, hi.view(np.uint64), lo.view(np.uint64)))
-            label = least_labels(len(node), Trees(shard, hi, lo).search(np.arange(len(node)), radius)) if len(node) else np.zeros(0, np.int64)
+            label = least_labels(len(node), Trees(shard, hi, lo).search(radius)) if len(node) else np.zeros(0, np.int64)
             other = node[label]
             own = other != node
             yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(other[own])], ["node", "other"])
@@ -192,16 +195,17 @@ def components(edges: DataFrame, shared: Shared) -> DataFrame:
             return edges
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shared: Shared | None = None) -> DataFrame:
     """(doc_id, text_hash, group_id, kept) as ``groups`` has it, with the hash that tells apart the texts of one id."""
-    shared = Shared(docs.sparkSession)
+    shared = shared or Shared(docs.sparkSession)
     prints, _ = shared.write(fingerprints(known(docs, key, text)).distinct())
     # numbers hold once they are written
     nodes, _ = shared.write(prints.groupBy("hi", "lo").agg(F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("node"), "hi", "lo", "n"))
     least = components(near_edges(nodes, radius), shared).withColumnRenamed("other", "label")
     labelled, _ = shared.write(nodes.join(least, "node", "left").select("hi", "lo", "n", F.coalesce("label", "node").alias("label")))
     several = labelled.groupBy("label").agg(F.sum("n").alias("members")).where("members > 1").select("label")
-    members, _ = shared.write(prints.join(labelled.join(several, "label", "left_semi"), ["hi", "lo"]).select("doc_id", "text_hash", "label"))
+    members, path = shared.write(prints.join(labelled.join(several, "label", "left_semi"), ["hi", "lo"]).select("doc_id", "text_hash", "label"))
+    shared.only(path)
     heads = members.groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("head"))
     return members.join(heads, "label").select("doc_id", "text_hash", F.col("head.doc_id").alias("group_id"), (F.struct("doc_id", "text_hash") == F.col("head")).alias("kept"))
 
@@ -220,5 +224,6 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """docs without those that ``groups`` doesn't keep; all other rows and all columns stay. Repeated rows of a kept document stay too."""
-    gone = Shared(docs.sparkSession).small(classes(docs, key, text, radius).where("not kept").select("doc_id", "text_hash"))
+    shared = Shared(docs.sparkSession)
+    gone = shared.small(classes(docs, key, text, radius, shared).where("not kept").select("doc_id", "text_hash"))
     return docs.join(gone, same_document(docs, key, text, gone), "left_anti")

@@ -102,6 +102,7 @@ def propagate(edges: DataFrame, hosts: DataFrame, trusted: list[str] | DataFrame
         shared.drop(path)
         now, path = new, new_path
         if moved_by <= tolerance:
+            shared.only(path)
             return now.select("host", "trust", "distrust")
     raise RuntimeError("trust and distrust have not settled")
 

@@ -81,7 +81,11 @@ def test_fingerprint_bits():
         assert own == want
 
 
-def test_every_tree_finds_all_within_the_radius():
+@pytest.mark.parametrize("few,bucket", [(64, 4_096), (0, 4_096), (0, 7), (3, 50)])
+def test_every_tree_finds_all_within_the_radius(monkeypatch, few, bucket):
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    monkeypatch.setattr(simhash, "PAIRS", 1_000)
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, (20, 2), dtype=np.uint64)
     words = base[rng.integers(0, 20, 500)]
@@ -89,7 +93,7 @@ def test_every_tree_finds_all_within_the_radius():
         words = words ^ (np.uint64(1) << rng.integers(0, 63, words.shape).astype(np.uint64))
     shard = np.sort(rng.integers(0, 4, 500))
     for radius in (0, 3, 16, 40, 128):
-        found = {(int(a), int(b)) for q, node in simhash.Trees(shard, words[:, 0], words[:, 1]).search(np.arange(500), radius) for a, b in zip(q, node)}
+        found = {(int(a), int(b)) for q, node in simhash.Trees(shard, words[:, 0], words[:, 1]).search(radius) for a, b in zip(q, node)}
         want = {(a, b) for a in range(500) for b in range(a) if shard[a] == shard[b] and int(simhash.distance(words[a, 0], words[a, 1], words[b, 0], words[b, 1])) <= radius}
         assert found == want
 
