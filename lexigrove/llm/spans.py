@@ -7,10 +7,12 @@ the others get their surroundings, as many words as a passage of MIN_WORDS aroun
 that are put together from those that overlap.
 
 Suffixes are split into groups by a prefix, as long as it takes for a group to fit in memory. A passage around a sampled
-suffix begins 0 to MIN_WORDS - PREFIX words before it. Where a group of PREFIX words is too large, the suffixes that begin
-0 to 15 words before are grouped by their first 35 words, which all such passages share, and likewise those that begin 16 to 30
-words before; where that is too large still, both are halved again, with prefixes of 43, 47, 49 and at last 50 words. Those of
-one group of 50 words are the leaves below one internal node, whose number and first leaf are all that is wanted.
+suffix begins 0 to MIN_WORDS - PREFIX words before it. Where PREFIX words have too many suffixes, those with equal surroundings
+become one context with their number and the first of them. Where the contexts are too many too, passages that begin 0 to 15
+words before are looked for apart from those that begin 16 to 30 words before: of the surroundings only the words that these
+can reach count, so that more contexts are equal, and they are grouped by the 35 words that all such passages share. Where that
+is too large still, both are halved again, with prefixes of 43, 47, 49 and at last 50 words, which are a single context.
+What is found of a context holds for all of its suffixes, but that only the first can be the first copy of a passage.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from lexigrove.llm.common import Shared, Windows, known, mix, released, text_sli
 
 MIN_WORDS = 50
 PREFIX = 20
-#: Suffixes of one prefix beyond this number are split by longer ones.
+#: Suffixes of one prefix beyond this number are counted by their surroundings, which beyond this number are split by longer prefixes.
 GROUP_ROWS = 100_000
 #: Rows that a subtree is built over at a time, at least.
 BATCH_ROWS = 60_000
@@ -110,13 +112,13 @@ def _ranks(t: pa.Table) -> np.ndarray:
     return out
 
 
-def subtree(prefix: np.ndarray, doc: np.ndarray, pos: np.ndarray, before: np.ndarray, after: np.ndarray, min_words: int = MIN_WORDS, head: int = PREFIX, least: int = 0, most: int | None = None) -> tuple[np.ndarray, ...]:
+def subtree(prefix: np.ndarray, doc: np.ndarray, pos: np.ndarray, before: np.ndarray, after: np.ndarray, min_words: int = MIN_WORDS, head: int = PREFIX, least: int = 0, most: int | None = None, weight: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(row, start, end, later start, later end, copies) of each suffix that lies in a repeat.
 
     The suffixes are sorted; the longest common prefixes of neighbours are the depths of the suffix tree's internal nodes.
     The leaves below a node of depth d whose d words are preceded by the same min_words - d words are copies of one passage;
     only passages that begin ``least`` to ``most`` words before the suffix are looked at. The passage of all but the first
-    copy, in the order of (doc, pos), is later.
+    copy, in the order of (doc, pos), is later. A suffix of a ``weight`` stands for as many, of which it is the first.
     """
     side = min_words - head
     most = side if most is None else most
@@ -134,6 +136,7 @@ def subtree(prefix: np.ndarray, doc: np.ndarray, pos: np.ndarray, before: np.nda
     if n > 1:
         differ = (words[1:] != words[:-1]) | (words[1:] == 0)
         lcp[1:] = np.where(sorted_prefix[1:] == sorted_prefix[:-1], head + np.where(differ.any(1), differ.argmax(1), side), 0)
+    weight = None if weight is None else weight[keep][order]
     left = before[order].astype(np.uint64)
     n_before, n_after = (left != 0).sum(1), (words != 0).sum(1)
     start, end = np.full(n, 1 << 30), np.zeros(n, np.int64)
@@ -147,13 +150,13 @@ def subtree(prefix: np.ndarray, doc: np.ndarray, pos: np.ndarray, before: np.nda
         if o < least:
             continue
         node = np.cumsum(lcp < d)
-        leaves = np.flatnonzero((np.bincount(node)[node] > 1) & (n_before >= o) & (n_after >= d - head))
+        leaves = np.flatnonzero((np.bincount(node, weight)[node] > 1) & (n_before >= o) & (n_after >= d - head))
         if not len(leaves):
             continue
         leaves = leaves[np.lexsort((order[leaves], h[leaves], node[leaves]))]
         new = np.concatenate([[True], (node[leaves][1:] != node[leaves][:-1]) | (h[leaves][1:] != h[leaves][:-1])])
         group = np.cumsum(new) - 1
-        size = np.bincount(group)[group]
+        size = np.bincount(group, None if weight is None else weight[leaves])[group]
         hit = leaves[size > 1]
         start[hit], end[hit] = np.minimum(start[hit], at[hit] - o), np.maximum(end[hit], at[hit] + d)
         copies[hit] = np.maximum(copies[hit], size[size > 1])
@@ -171,9 +174,9 @@ def _span_schema(docs: DataFrame) -> str:
     return f"doc_id {type_of(docs)}, text_hash bigint, " + ", ".join(f"{c} int" for c in NUMBERS)
 
 
-def _trees(t: pa.Table, key: np.ndarray, side: int, min_words: int, prefix: int, least: int = 0, most: int | None = None) -> Iterator[pa.RecordBatch]:
-    """The spans of the suffixes of a table, grouped by the key, as batches."""
-    row, *numbers = subtree(key, _ranks(t), t["pos"].to_numpy(), _matrix(t["before"], 4 * side), _matrix(t["after"], 4 * side), min_words, prefix, least, most)
+def _trees(t: pa.Table, side: int, min_words: int, prefix: int) -> Iterator[pa.RecordBatch]:
+    """The spans of the suffixes of a table, grouped by the prefix, as batches."""
+    row, *numbers = subtree(t["prefix"].to_numpy(), _ranks(t), t["pos"].to_numpy(), _matrix(t["before"], 4 * side), _matrix(t["after"], 4 * side), min_words, prefix)
     own = t.select(["doc_id", "text_hash"]).take(pa.array(row))
     for name, x in zip(NUMBERS, numbers):
         own = own.append_column(name, pa.array(x.astype(np.int32)))
@@ -206,68 +209,125 @@ def grouped(batches: Iterator[pa.RecordBatch], key: int, rows: int, more: int |
         yield pa.Table.from_batches(held)
 
 
-def refined(rows: DataFrame, least: int, most: int, min_words: int, prefix: int) -> DataFrame:
-    """The rows of ``surroundings`` with ``least``, ``most`` and ``key``: the hash of the words that all passages share which begin least to most words before the suffix. Rows without as many words are left out."""
+#: What is known of a context: its number of suffixes, the first one, and the surroundings that count.
+CONTEXT = ("n", "doc_id", "text_hash", "pos", "prefix", "before", "after")
+FIRST = ("doc_id", "text_hash", "pos")
+
+
+def _contexts(rows: DataFrame, *by: str) -> DataFrame:
+    """One row per context of rows with ``by`` and CONTEXT."""
+    found = rows.groupBy(*by).agg(F.sum("n").alias("n"), F.min(F.struct(*CONTEXT[1:])).alias("c"))
+    return found.select(*by, "n", "c.*")
+
+
+def halved(contexts: DataFrame, min_words: int, prefix: int) -> DataFrame:
+    """The contexts of least to most twice, for either half of these numbers: (parent, code, key, least, most) and CONTEXT.
+
+    ``key`` is the hash of the words that all passages share which begin least to most words before the suffix, ``code`` that of
+    all words that one of them has; words out of their reach become 0. Contexts without the words to share are left out.
+    """
     side = min_words - prefix
+    schema = f"parent bigint, code bigint, key bigint, least int, most int, n bigint, doc_id {type_of(contexts)}, text_hash bigint, pos int, prefix bigint, before binary, after binary"
+
+    def half(batch: pa.RecordBatch, least: int, most: int) -> pa.RecordBatch:
+        before, after = (_matrix(batch.column(c), 4 * side).copy() for c in ("before", "after"))
+        before[:, most:], after[:, side - least :] = 0, 0
+        fits = (before[:, :least] != 0).all(1) & (after[:, : side - most] != 0).all(1)
+        key = mix(batch.column("prefix").to_numpy().view(np.uint64) + np.uint64(1 + least * (side + 1) + most))
+        for x in (before[:, :least], after[:, : side - most]):
+            for i in range(x.shape[1]):
+                key = mix(key * _C + x[:, i].astype(np.uint64))
+        code = key
+        for x in (before[:, least:most], after[:, side - most : side - least]):
+            for i in range(x.shape[1]):
+                code = mix(code * _C + x[:, i].astype(np.uint64))
+        bounds = [pa.array(np.full(batch.num_rows, x, np.int32)) for x in (least, most)]
+        kept = [batch.column(c) for c in CONTEXT[:-2]]
+        columns = [batch.column("code"), pa.array(code.view(np.int64)), pa.array(key.view(np.int64)), *bounds, *kept, _fixed(before), _fixed(after)]
+        return pa.RecordBatch.from_arrays(columns, ["parent", "code", "key", "least", "most", *CONTEXT]).filter(pa.array(fits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(batch.schema.get_field_index("prefix")).to_numpy()
-            before, after = (_matrix(batch.column(batch.schema.get_field_index(c)), 4 * side).astype(np.uint64) for c in ("before", "after"))
-            fits = (before[:, :least] != 0).all(1) & (after[:, : side - most] != 0).all(1)
-            key = mix(own.view(np.uint64) + np.uint64(1 + least * (side + 1) + most))
-            for i in range(least):
-                key = mix(key * _C + before[:, i])
-            for i in range(side - most):
-                key = mix(key * _C + after[:, i])
-            bounds = [pa.array(np.full(batch.num_rows, x, np.int32)) for x in (least, most)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *bounds, pa.array(key.view(np.int64))], [*batch.schema.names, "least", "most", "key"]).filter(pa.array(fits))
+            least, most = (batch.column(c).to_numpy() for c in ("least", "most"))
+            for a, b in np.unique(np.stack([least, most], 1), axis=0).tolist():
+                own = batch.filter(pa.array((least == a) & (most == b)))
+                yield half(own, a, (a + b) // 2)
+                yield half(own, (a + b) // 2 + 1, b)
 
-    schema = f"prefix bigint, doc_id {type_of(rows)}, text_hash bigint, pos int, before binary, after binary, least int, most int, key bigint"
-    return rows.mapInArrow(released(run), schema)
+    return contexts.mapInArrow(released(run), schema)
 
 
-def repeats(marked: DataFrame, docs: DataFrame, min_words: int = MIN_WORDS, prefix: int = PREFIX, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Merged repeats of the documents, from their marked suffixes (doc_id, text_hash, pos, n), n being the number of suffixes with this prefix."""
-    side, schema = min_words - prefix, _span_schema(docs)
+def _passed(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """What is found of contexts, for the rows that they stand for by ``code``; all but the first are later copies."""
+    own = rows.join(found.select("code", *(F.col(c).alias(f"first_{c}") for c in FIRST), *NUMBERS), "code")
+    first = F.struct(*FIRST) == F.struct(*(F.col(f"first_{c}").alias(c) for c in FIRST))
+    for c, other in (("later_start", "start_word"), ("later_end", "end_word")):
+        own = own.withColumn(c, F.when(first, F.col(c)).otherwise(F.col(other)))
+    return own
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, 0, BATCH_ROWS):
-            t = t.combine_chunks()
-            yield from _trees(t, t["prefix"].to_numpy(), side, min_words, prefix)
 
-    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def hot_spans(rows: DataFrame, shared: Shared, min_words: int, prefix: int, group_rows: int) -> DataFrame:
+    """The spans of the suffixes in groups too large for memory, the rows of ``surroundings``, each once."""
+    side = min_words - prefix
+    schema = f"code bigint, doc_id {type_of(rows)}, text_hash bigint, pos int, " + ", ".join(f"{c} int" for c in NUMBERS)
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, 0, BATCH_ROWS):
             least, most = (t[c].to_numpy() for c in ("least", "most"))
             for a, b in np.unique(np.stack([least, most], 1), axis=0).tolist():
                 own = t.filter(pa.array((least == a) & (most == b))).combine_chunks()
-                yield from _trees(own, own["key"].to_numpy(), side, min_words, prefix, a, b)
+                before, after = (_matrix(own[c], 4 * side) for c in ("before", "after"))
+                row, *numbers = subtree(own["key"].to_numpy(), _ranks(own), own["pos"].to_numpy(), before, after, min_words, prefix, a, b, own["n"].to_numpy())
+                none = numbers[2] == numbers[3]
+                out = own.select(["code", *FIRST]).take(pa.array(row))
+                at = out["pos"].to_numpy()
+                for name, x in zip(NUMBERS[:-1], numbers):
+                    out = out.append_column(name, pa.array((x - at).astype(np.int32), mask=none if name.startswith("later") else None))
+                yield from out.append_column("copies", pa.array(numbers[-1].astype(np.int32))).to_batches()
+
+    rows, _ = shared.write(rows.withColumn("code", F.xxhash64("prefix", "before", "after")))
+    level = _contexts(rows.withColumn("n", F.lit(1).cast("bigint")), "code").selectExpr("*", "prefix as key", "0 as least", f"{side} as most")
+    levels: list[tuple[DataFrame, DataFrame | None]] = []
+    while True:
+        level, path = shared.write(level)
+        groups = level.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("total")).where("total > 1")
+        own, _ = shared.write(level.join(groups.drop("total"), "key"))
+        shared.drop(path)
+        fits = (F.col("rows") <= group_rows) | (F.col("least") == F.col("most"))
+        found = own.where(fits).select("key", "code", "least", "most", *CONTEXT).repartition("key").sortWithinPartitions("key").mapInArrow(released(trees), schema)
+        large = own.where(~fits)
+        if large.isEmpty():
+            levels.append((found, None))
+            break
+        links, _ = shared.write(halved(large, min_words, prefix))
+        levels.append((found, links))
+        level = _contexts(links, "code", "key", "least", "most")
+    found, _ = levels.pop()
+    while levels:
+        own, links = levels.pop()
+        # NULL is no later copy, which least and greatest leave out
+        each = [f(c).alias(c) for f, c in zip((F.min, F.max, F.min, F.max, F.max), NUMBERS)]
+        above = _passed(links, found).drop("code").withColumnRenamed("parent", "code")
+        found = own.unionByName(above.groupBy("code", *FIRST).agg(*each))
+    own, end = _passed(rows.select("code", *FIRST), found), F.col("pos") + F.col("end_word")
+    start, later_start, later_end = (F.col("pos") + F.col(c) for c in ("start_word", "later_start", "later_end"))
+    numbers = (start, end, F.coalesce(later_start, end), F.coalesce(later_end, end), F.col("copies"))
+    return own.select("doc_id", "text_hash", *(x.alias(c) for x, c in zip(numbers, NUMBERS)))
+
+
+def repeats(marked: DataFrame, docs: DataFrame, min_words: int = MIN_WORDS, prefix: int = PREFIX, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Merged repeats of the documents, from their marked suffixes (doc_id, text_hash, pos, n), n being the number of suffixes with this prefix."""
+    side, schema = min_words - prefix, _span_schema(docs)
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, 0, BATCH_ROWS):
+            yield from _trees(t.combine_chunks(), side, min_words, prefix)
 
     cold, hot = marked.where(F.col("n") <= group_rows), marked.where(F.col("n") > group_rows)
-    found = surroundings(cold, docs, min_words, prefix).repartition("prefix").sortWithinPartitions("prefix").mapInArrow(released(short), schema)
-    if hot.isEmpty():
-        return merged(found)
-    shared = Shared(docs.sparkSession)
-    rows, _ = shared.write(surroundings(hot, docs, min_words, prefix).distinct())
-    families = [(rows, 0, side)]
-    while families:
-        halves = [x for rows, a, b in families for x in ((rows, a, (a + b) // 2), (rows, (a + b) // 2 + 1, b)) if x[1] <= x[2]]
-        each = None
-        for own, a, b in halves:
-            part = refined(own, a, b, min_words, prefix)
-            each = part if each is None else each.unionByName(part)
-        each, _ = shared.write(each)
-        counts = each.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("first")).where("n > 1")
-        each = each.join(counts, "key")
-        trees = each.where(F.col("n") <= group_rows).select("key", "least", "most", "doc_id", "text_hash", "pos", "before", "after")
-        found = found.unionByName(trees.repartition("key").sortWithinPartitions("key").mapInArrow(released(longer), schema))
-        large, _ = shared.write(each.where(F.col("n") > group_rows))
-        node, begin = large.where("least = most"), F.col("pos") - F.col("least")
-        end = begin + min_words
-        later = F.when(F.col("first") == F.struct("doc_id", "text_hash", "pos"), end).otherwise(begin)
-        found = found.unionByName(node.select("doc_id", "text_hash", begin.alias("start_word"), end.alias("end_word"), later.alias("later_start"), end.alias("later_end"), F.col("n").cast("int").alias("copies")))
-        bounds = [(r["least"], r["most"]) for r in large.where("least < most").select("least", "most").distinct().collect()]
-        families = [(large.where((F.col("least") == a) & (F.col("most") == b)).select(*rows.columns), a, b) for a, b in sorted(bounds)]
+    found = surroundings(cold, docs, min_words, prefix).repartition("prefix").sortWithinPartitions("prefix").mapInArrow(released(trees), schema)
+    if not hot.isEmpty():
+        rows = surroundings(hot, docs, min_words, prefix).distinct()
+        found = found.unionByName(hot_spans(rows, Shared(docs.sparkSession), min_words, prefix, group_rows))
     return merged(found)
 
 

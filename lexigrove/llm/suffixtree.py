@@ -11,8 +11,8 @@ from lexigrove.llm.common import Shared
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = spans.MIN_WORDS, group_rows: int = spans.GROUP_ROWS) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, later_words, copies) of every maximal span all of whose runs of min_words words occur elsewhere.
 
-    Suffixes are split by the words they begin with: by PREFIX words, and by longer and longer prefixes, up to min_words,
-    where a group has more than group_rows suffixes. In each group's suffix tree the internal nodes that are deep enough,
+    Suffixes are split by the words they begin with: by PREFIX words, and where a group has more than group_rows suffixes
+    those with equal surroundings count as one, split by longer and longer prefixes, up to min_words. In each group's suffix tree the internal nodes that are deep enough,
     counting the words that all copies have before them, are the maximal repeats. Overlapping repeats of a document come out
     as one span; ``later_words`` counts its words that some copy earlier in the order of (doc_id, text_hash, word) has too,
     those to remove.

@@ -63,6 +63,34 @@ def test_prefixes_as_long_as_it_takes(spark, min_words, group_rows):
     same(suffixtree.repeated_passages(documents(spark, texts), min_words=min_words, group_rows=group_rows), repeats(texts, min_words))
 
 
+@pytest.mark.parametrize("kind", ["binary", "string"])
+def test_split_groups_with_ids_of_other_types(spark, kind):
+    t = " ".join(f"v{i}" for i in range(12))
+    rows = [("d", t + " p"), ("d", t + " q"), ("c", "x " + t), ("c", "x " + t)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").selectExpr(f"cast(doc_id as {kind}) as doc_id", "text")
+    got = suffixtree.repeated_passages(df, min_words=8, group_rows=1)
+    assert got.schema["doc_id"].dataType.simpleString() == kind
+    assert sorted((r["start_word"], r["end_word"], r["later_words"], r["copies"]) for r in got.collect()) == [(0, 12, 12, 3), (0, 12, 12, 3), (1, 13, 0, 3)]
+
+
+def test_hot_passages_are_written_once(spark, monkeypatch):
+    """No table of a split group has a row per suffix and beginning of a passage: equal surroundings are one row."""
+    from lexigrove.llm.common import Shared
+
+    rng, sizes, write = random.Random(7), [], Shared.write
+
+    def counted(self, df):
+        out = write(self, df)
+        sizes.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(Shared, "write", counted)
+    hot = [f"h{i}" for i in range(150)]
+    texts = [(k, " ".join([f"o{rng.randrange(10**6)}", *hot[: rng.choice([150, 150, 149, 100])], f"p{rng.randrange(10**6)}"])) for k in range(200)]
+    same(suffixtree.repeated_passages(documents(spark, texts), group_rows=20), repeats(texts, 50))
+    assert max(sizes) == sizes[0]  # all sampled suffixes
+
+
 @pytest.mark.parametrize("passages", BOTH)
 def test_ids_of_other_types_and_texts_of_one_id(spark, passages):
     t = " ".join(f"v{i}" for i in range(12))
