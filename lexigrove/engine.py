@@ -276,6 +276,28 @@ class SearchIndex:
         """Matching documents in the order of ingestion: no ranking, no facets, no cap on the total."""
         return self._run(params or BrowseParams())
 
+    def every_hit(self, params: BrowseParams | None = None) -> DataFrame:
+        """What browse gives on all its pages together, as rows in no order: nothing of them goes to the driver. Attributes that a document lacks are null; limit and page don't count."""
+        params = params or BrowseParams()
+        query, tree, docs = self._query(params.query), parse(params.filter, self.config.filterable), self.documents
+        if docs is None:
+            return self.spark.createDataFrame([], f"`{self.config.primary_key}` string")
+        shown = self._shown(docs.columns, params)
+        if self.needs_reindex():
+            return docs.where("false").select(*(F.col(f"`{c}`") for c in shown))
+        rows = self.matching(params, query, False)
+        for r in radii(tree):
+            name = f"_geoDistance({r.attribute})"
+            before, rows = rows.columns, self._with_distance(rows, r.attribute, r.lat, r.lng)
+            if rows.columns != before and ("*" in params.retrieve or name in params.retrieve):
+                shown.append(name)
+        return rows.select(*(F.col(f"__distance_{c[13:-1]}").alias(c) if c.startswith("_geoDistance(") else F.col(f"`{c}`") for c in shown))
+
+    def _shown(self, columns: list[str], params: BrowseParams) -> list[str]:
+        """The documents' columns that are displayed and asked for."""
+        displayed = [c for c in columns if not c.startswith("__") and c != "doc_id" and ("*" in self.config.displayed or c in (*self.config.displayed, self.config.primary_key))]
+        return [c for c in displayed if "*" in params.retrieve or c in params.retrieve]
+
     def search(self, params: SearchParams | None = None) -> Result:
         return self._run(params or SearchParams())
 

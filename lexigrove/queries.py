@@ -521,55 +521,48 @@ def part_index(spark: SparkSession, sf_dir: str, **more) -> SearchIndex:
     return index
 
 
-def every_hit(index: SearchIndex, params: BrowseParams) -> list[dict]:
-    """The hits of all pages."""
-    out, page = [], index.browse(params.with_(limit=1000, offset=0))
-    while page.hits:
-        out += page.hits
-        page = index.browse(params.with_(limit=1000, offset=len(out)))
-    return out
+def shown(hits: DataFrame) -> Column:
+    """The names of the hits' attributes."""
+    return F.lit(",".join(sorted(hits.columns))).alias("shown")
 
 
 @register("browse_filtered", "SELECT doc_id AS key, lang FROM documents WHERE lang = 'en' AND source IS DISTINCT FROM 'src1'")
 def browse_filtered(spark, sf_dir):
-    hits = every_hit(meta_index(spark, sf_dir), BrowseParams(filter="lang = 'en' AND source != 'src1'", retrieve=("key", "lang")))
-    return _values(spark, [(h["key"], h["lang"]) for h in hits], "key bigint, lang string")
+    return meta_index(spark, sf_dir).every_hit(BrowseParams(filter="lang = 'en' AND source != 'src1'", retrieve=("key", "lang")))
 
 
 @register("project_attributes", "SELECT doc_id AS key, 'key,source' AS shown, source FROM documents")
 def project_attributes(spark, sf_dir):
     """Hits have the attributes that are asked for, and no others."""
-    hits = every_hit(meta_index(spark, sf_dir), BrowseParams(retrieve=("key", "source")))
-    return _values(spark, [(h["key"], ",".join(sorted(h)), h["source"]) for h in hits], "key bigint, shown string, source string")
+    hits = meta_index(spark, sf_dir).every_hit(BrowseParams(retrieve=("key", "source")))
+    return hits.select("key", shown(hits), "source")
 
 
 @register("displayed_attributes", "SELECT p_partkey, 'p_name,p_partkey' AS shown FROM part")
 def displayed_attributes(spark, sf_dir):
     """What isn't displayed is searched and filtered by, and no hit has it."""
-    hits = every_hit(part_index(spark, sf_dir, displayed=("p_name",)), BrowseParams(filter="p_size IS NOT NULL"))
-    return _values(spark, [(h["p_partkey"], ",".join(sorted(h))) for h in hits], "p_partkey bigint, shown string")
+    hits = part_index(spark, sf_dir, displayed=("p_name",)).every_hit(BrowseParams(filter="p_size IS NOT NULL"))
+    return hits.select("p_partkey", shown(hits))
 
 
 @register("search_on_one_attribute", f"SELECT p_partkey FROM part WHERE {_has('p_type', 'small')}")
 def search_on_one_attribute(spark, sf_dir):
-    hits = every_hit(part_index(spark, sf_dir), BrowseParams(query="small", search_on=("p_type",)))
-    return _values(spark, [(h["p_partkey"],) for h in hits], "p_partkey bigint")
+    return part_index(spark, sf_dir).every_hit(BrowseParams(query="small", search_on=("p_type",))).select("p_partkey")
 
 
 @register("stop_words_of_a_query", f"SELECT p_partkey FROM part WHERE {_has('p_name', 'gizmo')} UNION ALL SELECT -p_partkey - 1 FROM part WHERE {_has('p_name', 'small')} OR {_has('p_type', 'small')}")
 def stop_words_of_a_query(spark, sf_dir):
     """A stop word of a query doesn't count, unless the query has nothing else: such hits have negative numbers here."""
     index = part_index(spark, sf_dir, stop_words=("small",))
-    hits = [h["p_partkey"] for h in every_hit(index, BrowseParams(query="small gizmo"))] + [-h["p_partkey"] - 1 for h in every_hit(index, BrowseParams(query="small"))]
-    return _values(spark, [(h,) for h in hits], "p_partkey bigint")
+    alone = index.every_hit(BrowseParams(query="small")).select((-F.col("p_partkey") - 1).alias("p_partkey"))
+    return index.every_hit(BrowseParams(query="small gizmo")).select("p_partkey").unionByName(alone)
 
 
 @register("query_token_limit", f"SELECT p_partkey, 'nothing red \"blue\"' AS query FROM part WHERE {_has('p_name', 'red')} OR {_has('p_name', 'blue')}")
 def query_token_limit(spark, sf_dir):
     """Words beyond the limit don't count, and the query that is given back ends before them, its phrase closed."""
     index, text = part_index(spark, sf_dir, max_query_tokens=3), 'nothing red "blue bolt" gizmo'
-    hits, query = every_hit(index, BrowseParams(query=text)), index.search(SearchParams(query=text)).query
-    return _values(spark, [(h["p_partkey"], query) for h in hits], "p_partkey bigint, query string")
+    return index.every_hit(BrowseParams(query=text)).select("p_partkey", F.lit(index.search(SearchParams(query=text)).query).alias("query"))
 
 
 @register("upsert_changed", "SELECT p_partkey FROM part WHERE p_size > 25")

@@ -236,3 +236,27 @@ def test_stems_and_compounds(spark):
     assert sorted(ids(index.search(SearchParams(query='"garten"')))) == [1, 2]
     assert sorted(ids(index.search(SearchParams(query="zwerg")))) == [1, 2]
     assert sorted(ids(index.search(SearchParams(query='"zwerg"')))) == [2]  # the stem of a word, not that of a compound's part
+
+
+def test_every_hit_is_what_all_pages_have(staff, spark):
+    """As rows, without a page's job and without documents in the driver: the attributes that are displayed and asked for."""
+    for params in (BrowseParams(), BrowseParams(query="blaubeer", filter="age > 20", retrieve=("id", "name", "nothing")), BrowseParams(filter="gender IS NULL", retrieve=("gender",)), BrowseParams(query="ugo hanna", search_on=("team",))):
+        pages, at = [], 0
+        while page := staff.browse(params.with_(limit=2, offset=at)).hits:
+            pages += page
+            at += 2
+        rows = [r.asDict() for r in staff.every_hit(params).collect()]
+        assert len(rows) == len(pages) and all(rows.count(p) == pages.count(p) for p in pages)
+    hidden = SearchIndex(spark, IndexConfig(searchable=("name",), displayed=("age",)))
+    assert hidden.every_hit().count() == 0
+    hidden.add(STAFF)
+    assert sorted(hidden.every_hit().columns) == ["age", "id"]
+    assert hidden.every_hit(BrowseParams(query="ugo")).collect()[0]["id"] == 2
+
+
+def test_every_hit_with_distances(spark):
+    index = SearchIndex(spark, IndexConfig(searchable=("name",), filterable=("place",)))
+    index.add([{"id": 1, "name": "near", "place": {"lat": 10.0, "lng": 10.0}}, {"id": 2, "name": "far", "place": {"lat": 50.0, "lng": 10.0}}, {"id": 3, "name": "nowhere", "place": None}])
+    params = BrowseParams(filter="_geoRadius(place, 10.1, 10, 50000)")
+    assert [r["_geoDistance(place)"] for r in index.every_hit(params).collect()] == [h["_geoDistance(place)"] for h in index.browse(params).hits]
+    assert index.every_hit(params.with_(retrieve=("id",))).columns == ["id"]
