@@ -36,10 +36,11 @@ def fold(word: str) -> str:
 
 
 def fold_column(word: Column) -> Column:
+    """Words of ASCII letters, which have as many bytes as letters, are only put into lower case."""
     out = F.translate(F.lower(word), FOLD_FROM, FOLD_TO)
     for a, b in FOLD_PAIRS:
         out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(out)
 
 
 def fold_sql(expression: str) -> str:

@@ -22,10 +22,10 @@ MOST_TERMS = 20_000
 IN_VALUES = 10
 
 
-def _one_of(terms: Iterable[str]) -> str:
+def _one_of(terms: Iterable[str], term: str = "term") -> str:
     """Whether the term is one of these, as SQL: one call, however many there are."""
     quoted = (t.replace("\\", "\\\\").replace("'", "\\'") for t in terms)
-    return "term IN (" + ", ".join(f"'{t}'" for t in quoted) + ")"
+    return f"{term} IN (" + ", ".join(f"'{t}'" for t in quoted) + ")"
 
 
 def _possible(token: Token, config: IndexConfig) -> Column:
@@ -99,8 +99,11 @@ def having_terms(postings: DataFrame, terms: list[str]) -> DataFrame:
     """The postings of the terms, by filters that reach the scan in groups small enough to be compared with a row group's statistics."""
     if not terms:
         return postings.where("false")
-    size = IN_VALUES if len(terms) <= 20 * IN_VALUES else len(terms)
-    return postings.where(" OR ".join(_one_of(terms[i : i + size]) for i in range(0, len(terms), size)))
+    if not IN_VALUES < len(terms) <= 20 * IN_VALUES:
+        return postings.where(_one_of(terms))
+    groups = " OR ".join(_one_of(terms[i : i + IN_VALUES]) for i in range(0, len(terms), IN_VALUES))
+    # one look into a set leaves few rows for the groups; by its form it isn't pushed to the scan beside them
+    return postings.where(f"{_one_of(terms, "coalesce(term, '')")} AND ({groups})")
 
 
 def hits(postings: DataFrame, matches: DataFrame, tokens: Iterable[Token], attributes: Iterable[int] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexigrove import schema as S
+from lexigrove.functions.once import once
 from lexigrove.functions.stem import compounds, stem_column
 from lexigrove.functions.text import fold_column, words_column
 
@@ -24,27 +25,26 @@ def text_of(name: str, kind: str) -> Column:
     return column.cast("string")
 
 
-def _place(attribute: int, before: Column):
-    return lambda w, j: F.struct(w.alias("word"), F.lit(attribute).alias("attribute"), (before + j + 1).cast("int").alias("position"))
-
-
 def postings(docs: DataFrame, attributes: Sequence[tuple[str, str]], doc_id: str = "doc_id") -> DataFrame:
     """(term, doc_id, attribute, position, folded) of every word of the (name, kind) attributes, in their order.
 
-    Positions count from 1 through all attributes of a document. One generator per row, no shuffle. Null texts have no words.
+    Positions count from 1 through all attributes of a document. No shuffle; each word is folded once, whatever is asked of its
+    term later. Null texts have no words.
     """
-    lists, before = [], F.lit(0)
-    for i, (name, kind) in enumerate(attributes):
-        found = F.coalesce(words_column(text_of(name, kind)), F.array().cast("array<string>"))
-        lists.append((i, found))
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), *(found.alias(f"w{i}") for i, found in lists))
-    parts = []
-    for i, _ in lists:
-        parts.append(F.transform(F.col(f"w{i}"), _place(i, before)))
-        before = before + F.size(f"w{i}")
-    exploded = rows.select("doc_id", F.inline(F.flatten(F.array(*parts)) if len(parts) > 1 else parts[0]))
-    term = fold_column(F.col("word"))
-    return exploded.select(term.alias("term"), "doc_id", "attribute", "position", (term != F.lower("word")).alias("folded"))
+    lists = [F.coalesce(words_column(text_of(name, kind)), F.array().cast("array<string>")).alias(f"w{i}") for i, (name, kind) in enumerate(attributes)]
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), *lists)
+    if len(lists) == 1:
+        each, attribute = rows.select("doc_id", F.posexplode("w0").alias("at", "word")), F.lit(0)
+    else:
+        ends, attribute = [F.size("w0")], F.lit(len(lists) - 1)
+        for i in range(1, len(lists)):
+            ends.append(ends[-1] + F.size(f"w{i}"))
+        rows = rows.select("doc_id", F.concat(*(f"w{i}" for i in range(len(lists)))).alias("words"), F.array(*ends[:-1]).alias("ends"))
+        each = rows.select("doc_id", "ends", F.posexplode("words").alias("at", "word"))
+        for i in reversed(range(len(lists) - 1)):
+            attribute = F.when(F.col("at") < F.get("ends", F.lit(i)), F.lit(i)).otherwise(attribute)
+    each = once(each, fold_column(F.col("word")), "term")
+    return each.select("term", "doc_id", attribute.alias("attribute"), (F.col("at") + 1).alias("position"), (F.col("term") != F.lower("word")).alias("folded"))
 
 
 def with_variants(base: DataFrame, languages: DataFrame | None = None, split_compounds: bool = False) -> DataFrame:

@@ -1,0 +1,46 @@
+"""Postings: words folded once, and few passes over the documents."""
+
+from __future__ import annotations
+
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from lexigrove import schema as S
+from lexigrove.functions.text import words
+from lexigrove.operators import matching, postings
+
+ODD = ["Straße ŒUVRE Ærø", "ΟΔΟΣ Σ ΑΣ'Α", "İstanbul Kelvin ﬁn", "don’t 'quoted' a'b'c", "plain ASCII Words 42", "été ǅ Ⱥ", "", None, "—"]
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_are_folded_as_in_python(spark):
+    rows = postings.postings(spark.createDataFrame([*enumerate(ODD)], "doc_id int, text string"), [("text", S.STRING)]).collect()
+    got = Counter((r["doc_id"], r["position"], r["term"], r["folded"]) for r in rows)
+    assert got == Counter((i, at, w.term, w.folded) for i, text in enumerate(ODD) for at, w in enumerate(words(text or ""), 1))
+    assert {r["attribute"] for r in rows} == {0}
+
+
+def test_positions_run_through_attributes(spark):
+    docs = spark.createDataFrame([(1, "a b", None, "c"), (2, None, "", "d e"), (3, "f", "g", None)], "doc_id int, x string, y string, z string")
+    rows = postings.postings(docs, [("x", S.STRING), ("y", S.STRING), ("z", S.STRING)]).collect()
+    assert sorted((r["doc_id"], r["position"], r["attribute"], r["term"]) for r in rows) == [(1, 1, 0, "a"), (1, 2, 0, "b"), (1, 3, 2, "c"), (2, 1, 2, "d"), (2, 2, 2, "e"), (3, 1, 0, "f"), (3, 2, 1, "g")]
+
+
+def test_a_word_is_folded_once_whatever_is_asked_of_it(spark):
+    """Pushed below the folding, each mention of the term folds it again."""
+    rows = postings.postings(spark.range(1).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text")).join(spark.range(1)), [("text", S.STRING)])
+    terms = [f"term{i}" for i in range(100)]
+    asked = matching.having_terms(rows.where("length(term) between 3 and 8 or term like 'th%'"), terms)
+    assert plan(asked).count("translate(") == plan(rows).count("translate(") == 1
+
+
+def test_one_look_into_a_set_goes_before_the_groups(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"term{i}" for i in range(300)))], "doc_id int, text string")
+    rows = postings.postings(docs, [("text", S.STRING)])
+    for n in (1, 10, 11, 100, 250):
+        some = matching.having_terms(rows, [f"term{i}" for i in range(n)])
+        assert some.count() == n and (n <= 10 or "INSET" in plan(some))
