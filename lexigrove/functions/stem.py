@@ -10,6 +10,8 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lexigrove.functions.once import once
+
 _VOWEL = re.compile(r"[aeiouy]")
 
 
@@ -133,9 +135,10 @@ MIN_PART = 4
 def compounds(vocabulary: DataFrame) -> DataFrame:
     """(term, part): both parts of each word of the vocabulary (term) that is two of its words with a filler between, of MIN_PART letters at least.
 
-    Every split of every word is joined with the vocabulary twice, on the parts; a word has fewer splits than letters.
+    Every split of every word is joined with the vocabulary twice, on the parts; a word has fewer splits than letters. The
+    distinct words are found once, as no filter is pushed below them by which they would differ.
     """
-    words = vocabulary.select("term").distinct()
+    words = once(vocabulary.select("term").distinct(), F.col("term"), "word").select(F.col("word").alias("term"))
     cut = F.explode(F.sequence(F.lit(MIN_PART), F.length("term") - MIN_PART)).alias("i")
     halves = words.where(F.length("term") >= 2 * MIN_PART).select("term", cut)
     halves = halves.select("term", F.expr("substring(term, 1, i)").alias("head"), F.expr("substring(term, i + 1)").alias("rest"))
