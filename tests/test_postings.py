@@ -7,8 +7,12 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from lexigrove import schema as S
+from lexigrove.functions.stem import compounds, stem
 from lexigrove.functions.text import words
 from lexigrove.operators import matching, postings
+from lexigrove.queries import QUERIES
+from lexigrove.sources.store import Store
+from tests.oracle import SF
 
 ODD = ["Straße ŒUVRE Ærø", "ΟΔΟΣ Σ ΑΣ'Α", "İstanbul Kelvin ﬁn", "don’t 'quoted' a'b'c", "plain ASCII Words 42", "été ǅ Ⱥ", "", None, "—"]
 
@@ -44,3 +48,77 @@ def test_one_look_into_a_set_goes_before_the_groups(spark):
     for n in (1, 10, 11, 100, 250):
         some = matching.having_terms(rows, [f"term{i}" for i in range(n)])
         assert some.count() == n and (n <= 10 or "INSET" in plan(some))
+
+
+def ran(df) -> str:
+    """The plan that ran, without the one before it was adapted; what is used again is there once."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_another_form_of_each_word(spark):
+    """The same rows as by comparing all of them, also where ids are missing or have several documents; without these nothing is shuffled."""
+    texts = [(1, "thou thou thousand The"), (2, "the theme"), (2, "thematic the été"), (None, "a theme"), (None, "themes"), (3, "")]
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    for some in (docs, docs.where("doc_id = 1 or doc_id = 3")):
+        rows = postings.postings(some, [("text", S.STRING)])
+        short = rows.withColumns({"term": F.substring("term", 1, 4), "folded": F.lit(True), "variant": F.lit(True)})
+        want = postings.first_of_position(rows.withColumn("variant", F.lit(False)).unionByName(short)).drop("folded")
+        got = postings.with_form(rows, F.substring("term", 1, 4), some.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+        assert Counter(got.drop("folded").collect()) == Counter(want.select(got.drop("folded").columns).collect())
+    assert "Exchange" not in ran(got) and "Window" not in ran(got)
+
+
+def test_posting_variants_are_not_shuffled(spark):
+    made = ran(QUERIES["posting_variants_first"](spark, SF))
+    assert "Window" not in made and "Exchange" not in made
+
+
+def test_variants_of_words(spark):
+    """Stems by the documents' languages and parts of compounds, once each, without comparing all rows."""
+    docs = spark.createDataFrame([(1, "houses houseboats boats house", "en"), (2, "houses Häuser houseboats", "de"), (3, "houses boat", None)], "doc_id int, text string, language string")
+    base = postings.postings(docs, [("text", S.STRING)])
+    parts = {(r["term"], r["part"]) for r in compounds(base).collect()}
+    assert ("houseboats", "boats") in parts
+    for languages in (docs.select("doc_id", "language").where("language is not null"), "en", None):
+        for split in (True, False):
+            got = postings.with_variants(base, languages, split)
+            want = set()
+            for r in base.collect():
+                at = (r["doc_id"], r["attribute"], r["position"])
+                want.add((r["term"], *at, r["folded"], False))
+                language = languages if not hasattr(languages, "collect") else {1: "en", 2: "de"}.get(r["doc_id"])
+                want |= {(s, *at, True, True) for s in [stem(r["term"], language)] if s != r["term"]}
+                want |= {(p, *at, True, True) for t, p in parts if split and t == r["term"]}
+            assert Counter(map(tuple, got.select("term", "doc_id", "attribute", "position", "folded", "variant").collect())) == Counter(want)
+            assert "Window" not in plan(got)
+
+
+def test_compounds_read_the_words_once(spark):
+    assert ran(QUERIES["compound_parts"](spark, SF)).count("regexp_extract_all(") == 1
+
+
+def test_stems_join_nothing(spark):
+    assert "Join" not in plan(QUERIES["stems"](spark, SF))
+
+
+def test_tables_in_memory_are_computed_once(spark):
+    """Not once for a sample of the terms and again for the rows."""
+    rows = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            rows.add(b.num_rows)
+            yield b
+
+    store = Store(spark)
+    table = store.write(spark.range(1_000).selectExpr("id as doc_id", "concat('t', id % 7) as term").mapInArrow(seen, "doc_id bigint, term string"))
+    kept = store.open([table])
+    assert kept.groupBy("term").count().orderBy("term").collect()[0]["count"] == 143 and rows.value == 1_000
+
+
+def test_words_are_looked_for_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.col("source").alias("more"))
+    for names in (["text"], ["text", "more"], ["more", "text", "lang"]):
+        rows = postings.postings(docs.withColumn("lang", F.lower("more")), [(n, S.STRING) for n in names])
+        assert plan(rows).count("regexp_extract_all(") == len(names)
