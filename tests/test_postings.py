@@ -122,3 +122,12 @@ def test_words_are_looked_for_once(spark):
     for names in (["text"], ["text", "more"], ["more", "text", "lang"]):
         rows = postings.postings(docs.withColumn("lang", F.lower("more")), [(n, S.STRING) for n in names])
         assert plan(rows).count("regexp_extract_all(") == len(names)
+
+
+def test_a_frequent_term_is_in_many_partitions_in_memory(spark):
+    store = Store(spark)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    kept = store.open([store.write(spark.range(4_000).selectExpr("id as doc_id", "'the' as term").repartition(4))])
+    sizes = [r["count"] for r in kept.groupBy(F.spark_partition_id()).count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 4_000 and max(sizes) < 2_000
